@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import line_dedup, mixing, url_filter
+from brindle.llm import line_dedup, minhash, mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,9 @@ SELECT page_id, host, path, rule,
     coalesce(action, CASE WHEN least(1.0, good + 1.645 * sqrt(good * (1 - good) / (hn + weight + 1.0))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM rated
 """
+
+
+@_query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
