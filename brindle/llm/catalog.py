@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import line_dedup, minhash, mixing, url_filter
+from brindle.llm import line_dedup, minhash, mixing, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,12 @@ FROM rated
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written to a store and read back."""
+    import public_tokenizers
+
+    path = token_store.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.store_summary(spark, path)
