@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontam, line_dedup, minhash, mixing, token_store, url_filter
+from brindle.llm import decontam, language, line_dedup, minhash, mixing, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,31 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and the benchmark items that they hold."""
     return decontam.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _crc(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo a number; null counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+@_query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_crc(3) != 1).select("doc_id", "text", "lang"))
+    held_out = (_crc(3) == 1).alias("held_out")
+    return language.predict_language(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity_rows(docs, labels).where(_crc(4) != 2))
+    held_out = (_crc(4) == 2).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with their toxic label; only documents that have one."""
+    return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")

@@ -35,14 +35,9 @@ UNITS = (
 ).split()
 
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in vector.seeds(3, 31))
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_WORD = np.zeros(256, bool)
-_WORD[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
+_DIGIT = vector.IS_DIGIT
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;\n")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
 
 
 class Tokens(NamedTuple):
@@ -54,35 +49,20 @@ class Tokens(NamedTuple):
     slot: np.ndarray  # whether it is a placeholder
 
 
-def _lower(data: np.ndarray) -> np.ndarray:
-    """A-Z lower-cased, and the accented capitals that UTF-8 writes as C3 80 to C3 9E."""
-    low = vector.TO_LOWER[data]
-    accented = np.zeros(len(data), bool)
-    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    low[accented] += 0x20
-    return low
-
-
 def tokenize(column: pa.Array) -> Tokens:
     """Tokens are runs of letters and digits; a point or comma between digits belongs to a number.
 
-    Bytes from 128 on count as letters, but for the no-break space and the general punctuation
-    (U+2000 to U+203F).  A name is a word with one capital, its first letter, that begins no
+    A name is a word with one capital, its first letter, that begins no
     sentence or line.
     """
     data, offsets = vector.utf8(column)
-    inside = _WORD[data]
+    inside = vector.letters(data) | _DIGIT[data]
     if len(data) > 2:
-        spaces = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xA0))
-        inside[spaces] = inside[spaces + 1] = False
-        signs = np.flatnonzero((data[:-1] == 0xE2) & (data[1:] == 0x80))
-        inside[signs] = inside[signs + 1] = False
-        inside[np.minimum(signs + 2, len(data) - 1)] = False
         digit = _DIGIT[data]
         point = (data[1:-1] == 46) | (data[1:-1] == 44)
         inside[1:-1] |= point & digit[:-2] & digit[2:]
     start, end = vector.runs(inside, offsets)
-    low = _lower(data)
+    low = vector.lower(data)
     literal = vector.Hasher(low)(start, end)
     text = vector.owner(start, offsets)
     if not len(start):

@@ -137,3 +137,34 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_keys, keys)
     at[at == len(sorted_keys)] = 0
     return np.where(sorted_keys[at] == keys, at, -1)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, and the accented capitals that UTF-8 writes as C3 80 to C3 9E."""
+    low = TO_LOWER[data]
+    accented = np.zeros(len(data), bool)
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[accented] += 0x20
+    return low
+
+
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = True
+IS_DIGIT = _table(b"0123456789")
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters: ASCII ones, and all others from 128 on but for the signs that
+    UTF-8 writes as C2 xx and as E2 80 xx (no-break space, quotation marks, dashes)."""
+    inside = _LETTERS[data]
+    for at, width in ((np.flatnonzero(data == 0xC2), 2), (np.flatnonzero((data[:-1] == 0xE2) & (data[1:] == 0x80)), 3)):
+        for k in range(width):
+            inside[np.minimum(at + k, len(data) - 1)] = False
+    return inside
+
+
+def parts(texts: pa.Array, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The stretches of the texts' bytes, as strings."""
+    data, _ = utf8(texts)
+    raw = data.tobytes()
+    return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
