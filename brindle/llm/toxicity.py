@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from brindle.llm import vector
 from brindle.sources.shared import materialize
 
-#: Labelled documents of each class that the model is fitted on, about; they are chosen by a hash of doc_id.
-SAMPLE_DOCS = 4000
+#: Labelled documents that the model is fitted on, about, toxic ones and others; they are chosen by a hash of doc_id.
+SAMPLE_TOXIC = 2000
+SAMPLE_CLEAN = 8000
 #: Features that the model may use: those whose share of documents differs most between the classes.
-FEATURES = 20_000
+FEATURES = 2000
 LEAST_DOCS = 3
 #: Beginnings of words (in bytes) that are features, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
-STEPS = 300
+STEPS = 600
+#: Share of the features that a step of training sees, so that none relies on others being there too.
+KEPT = 0.8
 RATE = 0.1
-DECAY = 1e-4
+DECAY = 1e-6
 THRESHOLD = 0.3
 
 _STOP = np.zeros(256, bool)
@@ -118,27 +121,29 @@ def _train(toxic: np.ndarray, sentence: np.ndarray, key: np.ndarray, text: np.nd
     value[-1] = -4.0  # few sentences of few documents are toxic
     mean, square = np.zeros_like(value), np.zeros_like(value)
     n_docs, n_sentences = len(toxic), len(text)
+    draw = np.random.default_rng(0)
     for step in range(1, STEPS + 1):
-        z = np.bincount(sentence, weights=value[key], minlength=n_sentences) + value[-1]
+        used = draw.random(n_keys) < KEPT
+        z = np.bincount(sentence, weights=(value[:-1] * used)[key], minlength=n_sentences) + value[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs)
         some = np.maximum(-np.expm1(none), 1e-9)
         # The likelihood's slope in a sentence's score: -p in clean documents, p (1 - P) / P in toxic ones.
         slope = np.where(toxic, np.exp(none) / some, -1.0)[text] * p
         gradient = np.append(np.bincount(key, weights=slope[sentence], minlength=n_keys), slope.sum()) / n_docs
-        gradient[:-1] -= DECAY * value[:-1]
+        gradient[:-1] = gradient[:-1] * used - DECAY * value[:-1]
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         value += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return value[:-1], float(value[-1])
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = FEATURES) -> Model:
+def fit(labelled: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES) -> Model:
     """A model from ``labelled`` (doc_id, text, toxic 0/1).
 
-    Rows without a label or text are left out.  The sample has about ``sample_docs`` documents of each class;
-    features are counted by Spark, and those whose shares of the two classes differ most are kept, up to
-    ``features``.  What is collected are those features' places in the sample's sentences.
+    Rows without a label or text are left out.  The sample has about ``sample_toxic`` and
+    ``sample_clean`` documents; features are counted by Spark, and those whose shares of the two classes differ most are kept,
+    up to ``features``.  What is collected are those features' places in the sample's sentences.
     With fewer than two classes no feature is used, and every score is near that class.
     """
     labelled = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "toxic")
@@ -146,7 +151,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = FEA
     if len(counts) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 5.0 if counts.get(True) else -5.0)
     spot = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.when(F.col("toxic") != 0, sample_docs / counts[True]).otherwise(sample_docs / counts[False])
+    share = F.when(F.col("toxic") != 0, sample_toxic / counts[True]).otherwise(sample_clean / counts[False])
     sample = materialize(labelled.where(spot < share), "sample")
     found = sample.select("text", "toxic").mapInArrow(_count, "key bigint, toxic bigint, clean bigint")
     found = found.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
