@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontam, language, line_dedup, minhash, mixing, token_store, toxicity, url_filter
+from brindle.llm import decontam, language, line_dedup, media, minhash, mixing, secrets, token_store, toxicity, url_filter
+from brindle.sources.shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +198,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with their toxic label; only documents that have one."""
     return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")
+
+
+@_query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with digests of the base patterns' findings."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts kept in progressive JPEG, read back, with features of the decoded images."""
+    stored = materialize(media.store_texts(_table(spark, sf_dir, "documents")), "media")
+    return media.stored_features(stored)
