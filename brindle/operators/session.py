@@ -38,7 +38,7 @@ def apply_scope(frame: DataFrame, kind: DocumentType, tenant: str | None, scope:
         wanted = scope.tenants if scope.tenants is not None else (() if tenant is None else (tenant,))
         frame = frame.where(F.col(kind.tenant).isin(*wanted) if wanted else F.lit(False))
     if kind.deleted is not None and scope.deleted != "maybe":
-        gone = F.coalesce(kind.deleted, F.lit(False))
+        gone = F.coalesce(F.expr(kind.deleted), F.lit(False))
         frame = frame.where(gone if scope.deleted == "only" else ~gone)
     for role, side, value in scope.bounds:
         column = getattr(kind, role)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,7 +28,7 @@ class DocumentType:
     id: str
     body: StructType | None = None  # of a JSON column ``data``, parsed once at the scan
     tenant: str | None = None
-    deleted: Column | None = None  # a condition: the row is softly deleted
+    deleted: str | None = None  # a condition in SQL: the row is softly deleted
     deleted_at: str | None = None
     modified_at: str | None = None
     created_at: str | None = None
