@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.text import SPACE_CHARS, lower_ascii
+from brindle.sources.shared import materialize
 
 #: Lines whose normal form is shorter (in code points) are never dropped.
 MIN_CHARS = 10
@@ -57,8 +58,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         once = keyed.groupBy("_h1", "_h2", "doc_id").agg(F.lit(1).alias("_one"))
         counted = once.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_docs"))
         repeated = counted.where(F.col("_docs") >= min_docs)
+    # Written out: adaptive execution splits a hot key of a join only between two plain shuffles.
+    repeated = materialize(repeated.select("_h1", "_h2", "_first"), "lines")
     drops = (
-        keyed.join(repeated.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        keyed.join(repeated, ["_h1", "_h2"])
         .where(F.col("doc_id") != F.col("_first"))
         .groupBy("doc_id", "_row")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))  # at most the lines of one document
