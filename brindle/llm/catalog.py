@@ -190,15 +190,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learnt from the labels that are not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity_rows(docs, labels).where(_crc(4) != 2))
+    model = toxicity.fit(docs, labels.where(_crc(4) != 2))
     held_out = (_crc(4) == 2).alias("held_out")
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
-def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their toxic label; only documents that have one."""
-    return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")
-
 
 @_query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

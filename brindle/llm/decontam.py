@@ -13,7 +13,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
@@ -34,6 +35,8 @@ UNITS = (
     "percent degree degrees dollar dollars euro euros cent cents usd eur gbp mph kmh w kw watt watts v volt volts hz khz mhz ghz kb mb gb tb"
 ).split()
 
+PAIRS = "doc_id bigint, item_id bigint, coverage double, kind string"
+
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in vector.seeds(3, 31))
 _DIGIT = vector.IS_DIGIT
 _STOP = np.zeros(256, bool)
@@ -242,32 +245,49 @@ def benchmark_leaks(
     is known to be within ``block_tokens``; documents are never shuffled.  An item longer than the
     bound is a block of its own.
     """
-    spark = docs.sparkSession
-    items = materialize(benchmark.select("item_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), r"[\W_]+")).cast("bigint").alias("n")), "items")
-    total, rows = items.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_blocks = max(1, -(-2 * total // block_tokens))
     found = None
+    for shared in _blocks(docs.sparkSession, benchmark, width, least_literal, block_tokens):
+        pairs = docs.select("doc_id", "text").mapInArrow(_scan(shared, width, coverage, least_literal), PAIRS)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found if found is not None else docs.sparkSession.createDataFrame([], PAIRS)
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, least_literal: int = LEAST_LITERAL, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, by the rules of ``benchmark_leaks``; all columns stay."""
+    for shared in _blocks(docs.sparkSession, benchmark, width, least_literal, block_tokens):
+
+        def clean(column: pa.Array, shared=shared) -> np.ndarray:
+            kept = np.ones(len(column), bool)
+            kept[[t for t, *_ in find_leaks(shared.value, column, width, coverage, least_literal)]] = False
+            return kept
+
+        docs = vector.filter_texts(docs, "text", clean)
+    return docs
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, width: int, least_literal: int, block_tokens: int) -> Iterator[Broadcast]:
+    """The benchmark in blocks of bounded size, each as a broadcast index.
+
+    Items are dealt by hash to as many blocks as their tokens ask for; a block that comes out above the bound is
+    taken in parts.
+    """
+    n = F.size(F.split(F.coalesce("text", F.lit("")), r"[\W_]+")).cast("bigint")
+    items = materialize(benchmark.select("item_id", "text", n.alias("n")), "items")
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-2 * total // block_tokens))
     for k in range(n_blocks):
-        # Items are dealt by hash; a block that comes out above the bound is taken in parts.
-        of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).select("item_id", "text", "n")
+        of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         part: list = []
         size = 0
         for row in of_block.toLocalIterator():
             if part and size + row.n > block_tokens:
-                found = _union(found, _pairs(docs, part, width, coverage, least_literal))
+                yield _shared(spark, part, width, least_literal)
                 part, size = [], 0
             part.append(row)
             size += row.n
         if part:
-            found = _union(found, _pairs(docs, part, width, coverage, least_literal))
-    return found if found is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, coverage double, kind string")
-
-
-def _pairs(docs: DataFrame, part: list, width: int, coverage: float, least_literal: int) -> DataFrame:
-    block = build_block([r.item_id for r in part], [r.text for r in part], width, least_literal)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    return docs.select("doc_id", "text").mapInArrow(_scan(shared, width, coverage, least_literal), "doc_id bigint, item_id bigint, coverage double, kind string")
+            yield _shared(spark, part, width, least_literal)
 
 
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+def _shared(spark: SparkSession, part: list, width: int, least_literal: int) -> Broadcast:
+    return spark.sparkContext.broadcast(build_block([r.item_id for r in part], [r.text for r in part], width, least_literal))

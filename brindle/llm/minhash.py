@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
@@ -15,14 +16,23 @@ from brindle.sources.shared import materialize
 WIDTH = 5
 #: Two documents are linked from this share (in percent) of common shingles on.
 PERCENT = 85
-#: Each permutation gives two values of the signature, its minimum and its maximum.
-PERMUTATIONS = 65
-#: Values a band.  At 85 % similarity a band agrees with probability 0.44; that none of
-#: the 26 bands does has probability 2.4e-7.
+#: Values a band of the signature.
 ROWS = 5
+#: How likely a pair as alike as asked for may share no band.
+MISS = 3e-7
+#: Documents of a bucket that one task compares with as many others at once.
+CHUNK = 64
+#: Shingles that a comparison holds at once, as columns of a matrix.
+TILE = 8192
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
+
+
+def permutations_for(percent: int, rows: int, miss: float = MISS) -> int:
+    """Permutations (two values each) whose bands miss a pair of that similarity with probability ``miss`` at most."""
+    bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+    return math.ceil(bands * rows / 2)
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,8 +53,26 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.nd
             yield k, np.zeros(0, np.uint64)
 
 
+def _signatures(flat: np.ndarray, at: np.ndarray, permutations: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets that lie in ``flat`` from ``at`` on, and the keys of their bands.
+
+    A permutation is an exclusive or and a product with an odd number.  All minima come first, so a band
+    takes its values from as many permutations as it has rows.
+    """
+    masks, factors = vector.seeds(permutations, 20 + rows), vector.seeds(permutations, 40 + rows) | np.uint64(1)
+    signature = np.zeros((2 * permutations, len(at)), np.uint64)
+    for p in range(permutations):
+        hashed = (flat ^ masks[p]) * factors[p]
+        signature[p] = np.minimum.reduceat(hashed, at)
+        signature[permutations + p] = np.maximum.reduceat(hashed, at)
+    bands = 2 * permutations // rows
+    keys = np.repeat(vector.seeds(bands, rows)[:, None], len(at), axis=1)
+    for k in range(rows):
+        keys = vector.mix(keys * np.uint64(0x9E3779B97F4A7C55) + signature[: bands * rows].reshape(bands, rows, -1)[:, k])
+    return signature, keys
+
+
 def _sketches(width: int, permutations: int, rows: int):
-    masks, factors = vector.seeds(permutations, 21), vector.seeds(permutations, 22) | np.uint64(1)
     bands = 2 * permutations // rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,29 +83,17 @@ def _sketches(width: int, permutations: int, rows: int):
                 filled = np.flatnonzero(sizes)
                 flat = np.concatenate(sets)
                 at = (np.cumsum(sizes) - sizes)[filled]
-                signature = np.zeros((len(filled), 2 * permutations), np.uint64)
-                keys = np.zeros((len(filled), bands), np.uint64)
                 marks = np.zeros((2, len(sets)), np.uint64)
+                keys = np.zeros((bands, 0), np.uint64)
                 if len(filled):
-                    for p in range(permutations):
-                        hashed = (flat ^ masks[p]) * factors[p]
-                        signature[:, 2 * p] = np.minimum.reduceat(hashed, at)
-                        signature[:, 2 * p + 1] = np.maximum.reduceat(hashed, at)
-                    # A band takes its values from as many permutations as it has rows.
-                    order = np.concatenate([np.arange(0, 2 * permutations, 2), np.arange(1, 2 * permutations, 2)])
-                    for b in range(bands):
-                        key = np.full(len(filled), b + 1, np.uint64)
-                        for column in order[b * rows : (b + 1) * rows]:
-                            key = vector.mix(key * np.uint64(0x9E3779B97F4A7C55) + signature[:, column])
-                        keys[:, b] = key
+                    _, keys = _signatures(flat, at, permutations, rows)
                     mixed = vector.mix(flat)
                     marks[0, filled] = np.add.reduceat(mixed, at)
                     marks[1, filled] = np.bitwise_xor.reduceat(vector.mix(mixed + np.uint64(1)), at)
-                lengths = np.where(sizes > 0, bands, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists], schema=SKETCH
-                )
+                ends = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.T.reshape(-1).copy().view(np.int64)))
+                columns = [batch.column("doc_id"), pa.array(sizes), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, schema=SKETCH)
 
     return sketch
 
@@ -86,8 +102,9 @@ def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in vector.slices(whole, "text"):
-                found = [s.tobytes() for _, s in shingle_sets(batch, width)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], schema=SETS)
+                found = [s for _, s in shingle_sets(batch, width)]
+                sizes, packed = pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, packed], schema=SETS)
 
     return sets
 
@@ -107,23 +124,132 @@ def _confirm(percent: int):
     return confirm
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (left, right) that are linked.
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (left, right) that are linked by their full ``sets``; sizes are looked at before sets travel."""
+
+    def sided(side: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+
+    sized = pairs.distinct().join(sided("left", "size"), "left").join(sided("right", "size"), "right")
+    likely = materialize(sized.where(100 * F.least("left_size", "right_size") >= percent * F.greatest("left_size", "right_size")).select("left", "right"), "pairs")
+    full = likely.join(sided("left", "shingles"), "left").join(sided("right", "shingles"), "right")
+    links = full.select("left", "right", F.col("left_shingles").alias("left_set"), F.col("right_shingles").alias("right_set"))
+    return materialize(links.mapInArrow(_confirm(percent), "left bigint, right bigint"), "links")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of some sets have in common: the product of their incidence matrix with itself, in tiles."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    several = np.diff(np.append(np.flatnonzero(new), len(flat))) > 1  # a shingle of one set alone changes nothing
+    place = np.cumsum(new) - 1
+    keep = several[place]
+    column = (np.cumsum(several) - 1)[place[keep]]
+    of = of[keep]
+    common = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, TILE):
+        a, b = np.searchsorted(column, [start, start + TILE])
+        tile = np.zeros((len(sets), TILE), np.float32)
+        tile[of[a:b], column[a:b] - start] = 1
+        common += tile @ tile.T
+    return common
 
-    Sets are made anew for the documents in pairs alone, and travel twice: to the pairs they are left in
-    and to those they are right in.
+
+def _compare(percent: int):
+    """Links inside blocks of rows that come one block after another.
+
+    Rows of part 1 are compared with those of part 0, and with each other if ``inner``; rows of one
+    component are not compared.
     """
-    wanted = pairs.select(F.col("left").alias("doc_id")).union(pairs.select("right")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("shingles").alias("left_set")), "left").join(
-        sets.select(F.col("doc_id").alias("right"), F.col("shingles").alias("right_set")), "right"
+
+    def linked(part: np.ndarray, component: np.ndarray, inner: bool, doc: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets])
+        wanted = (part[:, None] == 1) & (part[None, :] == 0)
+        if inner:
+            wanted |= np.triu((part[:, None] == 1) & (part[None, :] == 1), 1)
+        wanted &= component[:, None] != component[None, :]
+        wanted &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+        left, right = np.nonzero(wanted)
+        if not len(left):
+            return []
+        if len(left) <= 4:
+            common = np.array([(vector.find(sets[b], sets[a]) >= 0).sum() for a, b in zip(left, right, strict=True)])
+        else:
+            common = _common(sets)[left, right]
+        hit = 100 * common >= percent * (sizes[left] + sizes[right] - common)
+        return list(zip(doc[left[hit]].tolist(), doc[right[hit]].tolist(), strict=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("block", "part", "inner", "component", "doc_id")
+        rest: pa.Table | None = None
+
+        def found(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+            columns = {n: table.column(n).to_numpy() for n in names}
+            packed = table.column("shingles").to_pylist()
+            links = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sets = [np.frombuffer(p, np.uint64) for p in packed[a:b]]
+                links += linked(columns["part"][a:b], columns["component"][a:b], bool(columns["inner"][a]), columns["doc_id"][a:b], sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["left", "right"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            block = table.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
+            yield from found(table, cuts)
+            rest = table.slice(cuts[-1])  # the last block may go on
+        if rest is not None:
+            yield from found(rest, [0, rest.num_rows])
+
+    return compare
+
+
+def _linked_in_blocks(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links of ``blocks`` (block, part, inner, component, doc_id)."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.join(sets.select("doc_id", "shingles"), "doc_id").repartition(parts, "block").sortWithinPartitions("block")
+    rows = dealt.select("block", "part", "inner", "component", "doc_id", "shingles")
+    return materialize(rows.mapInArrow(_compare(percent), "left bigint, right bigint").distinct(), "links")
+
+
+def _small_blocks(members: DataFrame) -> DataFrame:
+    """A block for each distinct set of documents that is a bucket; buckets of a close pair are often the same."""
+    bucket = members.groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))  # CHUNK documents at most
+    block = bucket.select("docs").distinct().select(F.xxhash64("docs").alias("block"), F.explode("docs").alias("doc_id"))
+    return block.select("block", F.lit(1).alias("part"), F.lit(True).alias("inner"), F.col("doc_id").alias("component"), "doc_id")
+
+
+def _large_blocks(members: DataFrame, chunk: int) -> DataFrame:
+    """Blocks of large buckets (band, doc_id, component): chunks of documents, each two of them once.
+
+    The largest component of a bucket is compared with the rest alone, so a bucket that is one component but for
+    a few documents costs those few times its size.
+    """
+    by_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = by_component.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.select(
+        "band", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / chunk).cast("int").alias("n_main"), F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("n_rest")
     )
-    links = both.select("left", "right", "left_set", "right_set").mapInArrow(_confirm(percent), "left bigint, right bigint")
-    return materialize(links.distinct(), "links")
+    placed = members.join(materialize(sizes, "sizes"), "band").withColumn("is_main", F.col("component") == F.col("main"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("band", "doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+
+    def entry(kind: str, a, b, part, inner) -> object:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), part.cast("int").alias("part"), inner.alias("inner"))
 
+    chunk_, rest, main = F.col("chunk"), F.sequence(F.lit(0), F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_main") - 1)
+    of_main = F.transform(rest, lambda r: entry("main", chunk_, r, F.lit(0), F.lit(False)))
+    among = F.transform(rest, lambda r: entry("rest", F.least(chunk_, r), F.greatest(chunk_, r), F.when(chunk_ >= r, 1).otherwise(0), chunk_ == r))
+    beside = F.transform(main, lambda m: entry("main", m, chunk_, F.lit(1), F.lit(False)))
+    entries = placed.select("band", "doc_id", "component", F.inline(F.when(F.col("is_main"), of_main).otherwise(F.concat(among, beside))))
+    return entries.select(F.xxhash64("band", "kind", "a", "b").alias("block"), "part", "inner", "component", "doc_id")
 
-def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
+
+def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node of ``links`` (left, right).
 
     Each round gives a node the least label among its neighbours and then the label of that
@@ -146,9 +272,7 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     Words are runs without white space, A-Z lower-cased.  Documents are linked if ``percent``
@@ -159,61 +283,59 @@ def near_duplicates(
     linked with nothing.  Rows with the same doc_id are one document.  A null doc_id has the
     component null and is kept.  An empty table gives an empty table.
 
-    Documents with the same set form a class and go on as its smallest doc_id.  Classes that
-    agree in a band of the min-max signature are candidates.  They are compared with the first of
-    their bucket; the buckets' rest is compared in the same way, without the first and
-    without buckets that are one component by then, until the pairs of different components that
-    are left are no more than twice the classes in buckets, and those are compared all.  So
-    every candidate pair is confirmed or its two are already in one component, and copies never
-    become pairs.
+    Documents with the same set form a class and go on as its smallest doc_id; copies never become
+    pairs.  Classes that agree in a band of the min-max signature share a bucket.  Buckets of at most ``chunk``
+    classes are compared by one task each.  In larger ones each class is compared with the first, which makes
+    one component of most of them; what then is of different components is compared chunk by chunk.  A
+    row that is shuffled is a class in a chunk, not a pair, and links are confirmed on full sets throughout.
     """
-    spark = docs.sparkSession
-    sketches = docs.select("doc_id", "text").mapInArrow(_sketches(width, permutations, rows), "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>")
+    sketches = docs.select("doc_id", "text").mapInArrow(
+        _sketches(width, permutations_for(percent, rows), rows), "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>"
+    )
     sketches = materialize(sketches, "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["set_1", "set_2", "n_shingles"]
     classes = materialize(named.groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "classes")
-    members = classes.select(F.col("first").alias("doc_id"), "n_shingles", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where(F.col("_least") < F.col("_most"))
-    # Sums by band are written out: adaptive execution splits a hot key of a join only between two plain shuffles.
-    members = materialize(members.join(materialize(shared.select("band"), "bands"), "band", "left_semi"), "members")
-    # Rows of one document under different classes are linked as they are.
-    one = named.drop("bands").join(classes.select(*key, "first"), key).where(F.col("doc_id") != F.col("first"))
-    links = materialize(one.select(F.col("doc_id").alias("left"), F.col("first").alias("right")).distinct(), "links")
-    start = links
-    total = members.count()
-    near = spark.createDataFrame([], "left bigint, right bigint")
-    while total:
-        first = members.groupBy("band").agg(F.min(F.struct("doc_id", "n_shingles", *(["component"] if "component" in members.columns else []))).alias("_first"))
-        first = materialize(first, "firsts")
-        pairs = members.join(first, "band").where(F.col("doc_id") != F.col("_first.doc_id"))
-        if "component" in members.columns:
-            pairs = pairs.where(F.col("component") != F.col("_first.component"))
-        pairs = _alike(pairs, F.col("_first.n_shingles"), percent).select(F.col("doc_id").alias("left"), F.col("_first.doc_id").alias("right")).distinct()
-        near = materialize(near.unionByName(_confirmed(docs, materialize(pairs, "pairs"), width, percent)), "links")
-        rest = members.join(first.select("band", F.col("_first.doc_id").alias("_done")), "band").where(F.col("doc_id") != F.col("_done")).select("band", "doc_id", "n_shingles")
-        components = connected_components(spark, near)
-        rest = rest.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rest = materialize(rest, "rest")
-        mixed = rest.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where(F.col("_least") < F.col("_most"))
-        rest = rest.join(materialize(mixed.select("band"), "bands"), "band", "left_semi")
-        members = materialize(rest, "members")
-        counts = members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        left = counts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        if left <= 2 * total:
-            other = members.select("band", F.col("doc_id").alias("right"), F.col("n_shingles").alias("_size"), F.col("component").alias("_other"))
-            pairs = members.join(other, "band").where((F.col("doc_id") < F.col("right")) & (F.col("component") != F.col("_other")))
-            pairs = _alike(pairs, F.col("_size"), percent).select(F.col("doc_id").alias("left"), "right").distinct()
-            near = materialize(near.unionByName(_confirmed(docs, materialize(pairs, "pairs"), width, percent)), "links")
-            break
-    components = connected_components(spark, start.unionByName(near))
+    same = named.select("doc_id", *key).join(classes.select(*key, "first"), key).where(F.col("doc_id") != F.col("first"))
+    copies = materialize(same.select(F.col("doc_id").alias("left"), F.col("first").alias("right")).distinct(), "copies")
+
+    members = classes.select(F.explode("bands").alias("band"), F.col("first").alias("doc_id"))
+    sizes = materialize(members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("right")).where("n > 1"), "buckets")
+    members = materialize(members.join(sizes, "band"), "members")
+    texts = docs.select("doc_id", "text").join(members.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(width), "doc_id bigint, size bigint, shingles binary"), "sets")
+
+    near = copies.unionByName(_linked_in_blocks(sets, _small_blocks(members.where(F.col("n") <= chunk)), percent))
+    large = members.where((F.col("n") > chunk) & (F.col("doc_id") != F.col("right"))).select("band", F.col("doc_id").alias("left"), "right")
+    if large.limit(1).count():
+        near = near.unionByName(_confirmed(sets, large.select("left", "right"), percent))
+        open_ = _mixed(_with_components(large.select("band", F.col("left").alias("doc_id")), connected_components(near)))
+        near = near.unionByName(_linked_in_blocks(sets, _large_blocks(open_, chunk), percent))
+    components = connected_components(near)
     result = sketches.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _alike(pairs: DataFrame, other: object, percent: int) -> DataFrame:
-    """Pairs whose sizes allow a link: the smaller set has to be ``percent`` of the larger at least."""
-    return pairs.where(100 * F.least("n_shingles", other) >= percent * F.greatest("n_shingles", other))
+def _with_components(members: DataFrame, components: DataFrame) -> DataFrame:
+    found = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (band, doc_id, component) whose bucket has more than one component.
+
+    Rows and sums by band are written out: adaptive execution splits a hot key of a join only between two plain shuffles.
+    """
+    members = materialize(members.select("band", "doc_id", "component"), "members")
+    mixed = members.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where(F.col("_least") < F.col("_most"))
+    return materialize(members.join(materialize(mixed.select("band"), "bands"), "band", "left_semi"), "members")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, its smallest doc_id; all columns stay.
+
+    All rows of a doc_id that is kept stay, and so do rows with a null doc_id.
+    """
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")

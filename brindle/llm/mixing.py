@@ -121,3 +121,15 @@ def mix_sources(
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "whole", extra.alias("extra"), (F.col("size") * (F.col("whole") + extra)).alias("taken")
     )
+
+
+def repeat_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs`` with each row as often as ``mix_sources`` takes it; all columns stay.
+
+    Rows with the same doc_id are repeated alike, as often as the most taken of them; rows
+    with a null doc_id are taken as one such group.
+    """
+    times = mix_sources(docs, **parameters).groupBy("doc_id").agg(F.max(F.col("whole") + F.col("extra")).cast("int").alias("_times"))
+    times = times.where(F.col("_times") > 0).withColumnRenamed("doc_id", "_id")
+    taken = docs.join(times.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_copy")).drop("_copy")

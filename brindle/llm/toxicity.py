@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
+from brindle.operators.joins import join_small
 from brindle.sources.shared import materialize
 
 #: Labelled documents that the model is fitted on, about, toxic ones and others; they are chosen by a hash of doc_id.
@@ -138,24 +139,26 @@ def _train(toxic: np.ndarray, sentence: np.ndarray, key: np.ndarray, text: np.nd
     return value[:-1], float(value[-1])
 
 
-def fit(labelled: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES) -> Model:
-    """A model from ``labelled`` (doc_id, text, toxic 0/1).
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES) -> Model:
+    """A model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) names.
 
     Rows without a label or text are left out.  The sample has about ``sample_toxic`` and
-    ``sample_clean`` documents; features are counted by Spark, and those whose shares of the two classes differ most are kept,
+    ``sample_clean`` labels; it is drawn from the labels alone, so only few rows are joined with the texts.
+    Features are counted by Spark, and those whose shares of the two classes differ most are kept,
     up to ``features``.  What is collected are those features' places in the sample's sentences.
     With fewer than two classes no feature is used, and every score is near that class.
     """
-    labelled = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "toxic")
-    counts = {bool(r.toxic): r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 5.0 if counts.get(True) else -5.0)
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    counts = {bool(r.toxic): r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     spot = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.when(F.col("toxic") != 0, sample_toxic / counts[True]).otherwise(sample_clean / counts[False])
-    sample = materialize(labelled.where(spot < share), "sample")
+    share = F.when(F.col("toxic") != 0, sample_toxic / counts.get(True, 1)).otherwise(sample_clean / counts.get(False, 1))
+    drawn = materialize(labels.where(spot < share), "labels")
+    sample = materialize(join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), drawn, "doc_id"), "sample")
+    drawn = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(drawn) < 2:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 5.0 if drawn.get(True) else -5.0)
     found = sample.select("text", "toxic").mapInArrow(_count, "key bigint, toxic bigint, clean bigint")
     found = found.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    drawn = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, b = F.col("toxic") / max(1, drawn.get(True, 0)), F.col("clean") / max(1, drawn.get(False, 0))
     differs = F.abs(a - b) / F.sqrt(a + b)
     best = found.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).orderBy(differs.desc(), "key").limit(features)
@@ -177,18 +180,22 @@ def score_sentences(model: Model, column: pa.Array) -> tuple[_Slice, np.ndarray]
     return found, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def noisy_or(found: _Slice, p: np.ndarray, n_texts: int) -> np.ndarray:
+    """The probability that any sentence of a text is toxic, by text."""
+    return -np.expm1(np.bincount(found.text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_texts))
+
+
 def _score(shared, threshold: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in vector.slices(whole, "text"):
                 column = batch.column("text")
                 found, p = score_sentences(shared.value, column)
-                none = np.bincount(found.text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=batch.num_rows)
                 at = np.flatnonzero(p >= threshold)
                 spots = vector.parts(column, found.start[at], found.end[at])
                 cut = np.searchsorted(found.text[at], np.arange(batch.num_rows + 1)).astype(np.int32)
                 offending = pa.ListArray.from_arrays(pa.array(cut), pa.array(spots, pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(-np.expm1(none)), offending], names=["doc_id", "score", "offending"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(noisy_or(found, p, batch.num_rows)), offending], names=["doc_id", "score", "offending"])
 
     return score
 
@@ -203,3 +210,14 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by ``fit``
     scored = docs.select("doc_id", "text").mapInArrow(_score(shared, threshold), "doc_id bigint, score double, offending array<string>")
     return scored.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "offending")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(column: pa.Array) -> np.ndarray:
+        found, p = score_sentences(shared.value, column)
+        return noisy_or(found, p, len(column)) < threshold
+
+    return vector.filter_texts(docs, "text", clean)

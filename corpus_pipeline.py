@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages of the training-data operators, in the order they are applied."""
+"""The corpus pipeline: from all documents to the token ids of a clean, mixed corpus.
+
+Each stage is a function of (spark, docs, sf_dir) on the documents that its predecessor kept.  All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from brindle.llm import decontam, minhash, mixing, token_store, toxicity
+from brindle.sources.shared import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from all labels, does not reject."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    return minhash.drop_near_duplicates(docs, percent=80)
+
+
+def drop_leaking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents' token ids, written to a store and read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    path = token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.store_summary(spark, path)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaking),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
 
+#: The toxicity model and the similarity of shingle sets are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
+    """Apply the stages to the documents; what each keeps is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
