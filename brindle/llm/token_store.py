@@ -29,7 +29,7 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 END_ID = 1
 #: Chunks of text whose ids a worker remembers, at most; then it forgets all and begins anew.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 900_000
 #: New chunks are given to the tokenizer so many at a time.
 ENCODE_AT_ONCE = 4096
 

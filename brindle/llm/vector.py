@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Texts are handled in slices of at most so many bytes, or one text.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)  # odd, so that it has an inverse
 
