@@ -47,17 +47,19 @@ class Member:
         return result.alias(self.name)
 
 
-def fold(events: DataFrame, key: str | Sequence[str], members: Sequence[Member], delete: Column | None = None, create: Sequence[str] = ()) -> DataFrame:
+def fold(events: DataFrame, key: str | Sequence[str], members: Sequence[Member], delete: Column | None = None, create: Sequence[str] | Column = ()) -> DataFrame:
     """One row a key: the members over its events in order of seq_id.
 
     After an event for which ``delete`` holds the state is gone: only later events count, and a key without any
-    has no row.  With ``create`` (types) a key has a row only if such an event is among those that count.
+    has no row.  With ``create`` (types, or a condition) a key has a row only if such an event is among those that count.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if delete is not None:
         cut = events.where(delete).groupBy(*keys).agg(F.max("seq_id").alias("_cut"))
         events = events.join(cut, keys, "left").where(F.col("_cut").isNull() | (F.col("seq_id") > F.col("_cut")))
-    made = F.count(F.when(F.col("type").isin(*create), 1)).alias("_made") if create else F.lit(1).alias("_made")
+    if not isinstance(create, Column):
+        create = F.col("type").isin(*create) if create else F.lit(True)
+    made = F.count(F.when(create, 1)).alias("_made")
     return events.groupBy(*keys).agg(*[m.aggregate() for m in members], made).where(F.col("_made") > 0).drop("_made")
 
 

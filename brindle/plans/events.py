@@ -312,6 +312,11 @@ def projection_with_create(s: SparkSession, d: str) -> DataFrame:
     return fold(log(s, d).where(F.col("version") <= 5), "stream_id", _members(), create=("signup",))
 
 
+@query("projection_with_create_all", _LOG + f"SELECT stream_id, {_MEMBERS} FROM log GROUP BY stream_id HAVING count(*) FILTER (WHERE type = 'signup' AND value > 95) > 0")
+def projection_with_create_all(s: SparkSession, d: str) -> DataFrame:
+    return fold(log(s, d), "stream_id", _members(), create=(F.col("type") == "signup") & (F.col("value") > 95))
+
+
 _DELETED = _LOG + ", cuts AS (SELECT stream_id, max(seq_id) FILTER (WHERE type = 'error' AND value > 70) AS cut, max(seq_id) AS last FROM log GROUP BY stream_id) "
 
 
@@ -331,6 +336,17 @@ def aggregate_last_known(s: SparkSession, d: str) -> DataFrame:
     return last_known(log(s, d).where(F.col("version") <= 12), "stream_id", _members(), F.col("type") == "error")
 
 
+@query(
+    "aggregate_last_known_all",
+    _LOG + f""", ends AS (SELECT stream_id, max(seq_id) AS last FROM log GROUP BY stream_id),
+    tail AS (SELECT log.* FROM log JOIN ends USING (stream_id) WHERE NOT (seq_id = last AND type = 'error')),
+    cuts AS (SELECT stream_id, max(seq_id) AS cut FROM tail WHERE type = 'error' GROUP BY stream_id)
+    SELECT stream_id, {_MEMBERS} FROM tail LEFT JOIN cuts USING (stream_id) WHERE cut IS NULL OR seq_id > cut GROUP BY stream_id""",
+)
+def aggregate_last_known_all(s: SparkSession, d: str) -> DataFrame:
+    return last_known(log(s, d), "stream_id", _members(), F.col("type") == "error")
+
+
 @query("aggregate_many", _LOG + "SELECT type AS slice_key, count(*) AS clicks, count(DISTINCT stream_id) AS streams FROM log WHERE type IN ('click', 'view') GROUP BY type")
 def aggregate_many(s: SparkSession, d: str) -> DataFrame:
     rows = slice_by(log(s, d), ("click", F.lit("click")), ("view", F.lit("view")))
@@ -361,6 +377,11 @@ def step_timeline(s: SparkSession, d: str) -> DataFrame:
     return timeline(log(s, d).where(F.col("stream_id") < 20), "stream_id", _members()[:2])
 
 
+@query("step_timeline_all", _LOG + f"SELECT stream_id, seq_id, type, count(*) FILTER (WHERE type = 'click') OVER w AS clicks, coalesce(sum({_CENTS}) FILTER (WHERE type = 'purchase') OVER w, 0)::BIGINT AS spent FROM log WINDOW w AS (PARTITION BY stream_id ORDER BY seq_id ROWS UNBOUNDED PRECEDING)")
+def step_timeline_all(s: SparkSession, d: str) -> DataFrame:
+    return timeline(log(s, d), "stream_id", _members()[:2])
+
+
 @query("fold_by_function", _LOG + "SELECT stream_id, count(*) FILTER (WHERE type = 'click') AS clicks, arg_max(type, seq_id) AS last_type FROM log GROUP BY stream_id")
 def fold_by_function(s: SparkSession, d: str) -> DataFrame:
     zero = F.struct(F.lit(0).cast("bigint").alias("clicks"), F.lit(None).cast("string").alias("last_type"))
@@ -383,6 +404,16 @@ def fold_by_python(s: SparkSession, d: str) -> DataFrame:
     return fold_pandas(log(s, d), "stream_id", ["type", "value"], _pandas_step, "stream_id bigint, clicks bigint, last_type string")
 
 
+def _column_maps() -> dict[str, list[ColumnMap]]:
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return {
+        "signup": [ColumnMap("status", "set", F.lit("member")), ColumnMap("credit", "map", cents)],
+        "purchase": [ColumnMap("credit", "increment", cents)],
+        "click": [ColumnMap("score", "increment")],
+        "view": [ColumnMap("score", "decrement")],
+    }
+
+
 @query(
     "flat_table",
     _LOG + f""", cuts AS (SELECT stream_id, max(seq_id) AS cut FROM log WHERE type = 'error' AND version < 8 GROUP BY stream_id),
@@ -394,14 +425,21 @@ def fold_by_python(s: SparkSession, d: str) -> DataFrame:
     FROM based GROUP BY stream_id""",
 )
 def flat_table_query(s: SparkSession, d: str) -> DataFrame:
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    maps = {
-        "signup": [ColumnMap("status", "set", F.lit("member")), ColumnMap("credit", "map", cents)],
-        "purchase": [ColumnMap("credit", "increment", cents)],
-        "click": [ColumnMap("score", "increment")],
-        "view": [ColumnMap("score", "decrement")],
-    }
-    return flat_table(log(s, d).where(F.col("version") < 8), "stream_id", maps, deletes=["error"])
+    return flat_table(log(s, d).where(F.col("version") < 8), "stream_id", _column_maps(), deletes=["error"])
+
+
+@query(
+    "flat_table_all",
+    _LOG + f""", cuts AS (SELECT stream_id, max(seq_id) AS cut FROM log WHERE type = 'error' GROUP BY stream_id),
+    live AS (SELECT log.* FROM log LEFT JOIN cuts USING (stream_id) WHERE (cut IS NULL OR seq_id > cut) AND type <> 'error'),
+    based AS (SELECT *, max(seq_id) FILTER (WHERE type = 'signup') OVER (PARTITION BY stream_id) AS base FROM live)
+    SELECT stream_id, arg_max('member', seq_id) FILTER (WHERE type = 'signup') AS status,
+    (coalesce(arg_max({_CENTS}, seq_id) FILTER (WHERE type = 'signup'), 0) + coalesce(sum(CASE WHEN type = 'purchase' THEN {_CENTS} ELSE 0 END) FILTER (WHERE base IS NULL OR seq_id > base), 0))::BIGINT AS credit,
+    coalesce(sum(CASE type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END), 0)::BIGINT AS score
+    FROM based GROUP BY stream_id""",
+)
+def flat_table_all(s: SparkSession, d: str) -> DataFrame:
+    return flat_table(log(s, d), "stream_id", _column_maps(), deletes=["error"])
 
 
 @query("event_projection", _LOG + "SELECT 'purchase-' || seq_id AS id, stream_id, round(value * 1.2, 4) AS gross FROM log WHERE type = 'purchase'")

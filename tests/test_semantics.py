@@ -11,6 +11,7 @@ from brindle.operators import paging, patch
 from brindle.operators.fold import ColumnMap, Member, flat_table, fold, fold_function, fold_pandas, slice_by, timeline
 from brindle.operators.sequence import global_row_number, running_total
 from brindle.operators.session import Session, count_if
+from brindle.plans import core, events  # noqa: F401
 from brindle.sources import events as E
 from brindle.sources import store as S
 from brindle.sources.schema import DocumentType, camel_case
@@ -239,6 +240,16 @@ def test_folds_agree_and_deletes_reset(spark):
     assert [r["total"] for r in steps.orderBy("seq_id").collect()] == [7.0, 7.0, 8.0]
 
 
+def test_whole_log_folds_see_long_and_late_streams(spark, tmp_path):
+    rows = [(k, 1 if k < 40 else 50, "signup" if k in (30, 45) else "click", dt.datetime(2024, 1, 1), 99.0, "{}") for k in range(60)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {name: core.QUERIES[name](spark, str(tmp_path)) for name in ("step_timeline_all", "projection_with_create_all", "aggregate_last_known_all", "flat_table_all")}
+    assert found["step_timeline_all"].count() == 60 and found["step_timeline_all"].where("stream_id = 50").agg(F.max("clicks")).first()[0] == 19
+    assert values(found["projection_with_create_all"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
+    assert values(found["aggregate_last_known_all"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
+    assert values(found["flat_table_all"].select("stream_id", "status", "score")) == [(1, "member", 39), (50, "member", 19)]
+
+
 def test_slices_fan_out(spark):
     rows = log(spark, (1, "a", 1, "x", 1), (2, "b", 1, "y", 2))
     fanned = slice_by(rows, ("x", F.array(F.lit("k1"), F.lit("k2"))))
