@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become rows of typed tokens: numbers, units after numbers, and names are placeholders, all else
-stands for itself.  Windows of tokens are looked up among the benchmark's windows, once as they
+stands for itself; a name of several words is one placeholder.  Windows of tokens are looked up among the benchmark's windows, once as they
 stand and once as templates; in the second case the words that fill the placeholders must be
 exchanged consistently, which is how a question with other numbers and names is told from chance.
 """
@@ -25,6 +25,10 @@ WIDTH = 5
 COVERAGE = 0.8
 #: Windows of a template with fewer words that stand for themselves are not looked at.
 LEAST_LITERAL = 3
+#: An item all of whose windows have fewer is compared as a whole template, if it has at least so many words.
+LEAST_WHOLE = 2
+#: How far a template's windows may drift apart, from one to the next, where a filling has another number of tokens.
+DRIFT = 3
 #: Tokens of the benchmark that are held in memory and broadcast at once; more go in further blocks.
 BLOCK_TOKENS = 2_000_000
 
@@ -32,7 +36,8 @@ BLOCK_TOKENS = 2_000_000
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds lb lbs oz "
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-    "percent degree degrees dollar dollars euro euros cent cents usd eur gbp mph kmh w kw watt watts v volt volts hz khz mhz ghz kb mb gb tb"
+    "percent degree degrees dollar dollars euro euros cent cents usd eur gbp mph kmh w kw watt watts v volt volts hz khz mhz ghz kb mb gb tb "
+    "st nd rd th"
 ).split()
 
 PAIRS = "doc_id bigint, item_id bigint, coverage double, kind string"
@@ -43,6 +48,10 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;\n")] = True
 
 
+_JOINS = np.ones(256, bool)  # what may not stand between the words of one name
+_JOINS[list(b" -")] = False
+
+
 class Tokens(NamedTuple):
     """Tokens of a slice of texts."""
 
@@ -52,11 +61,24 @@ class Tokens(NamedTuple):
     slot: np.ndarray  # whether it is a placeholder
 
 
-def tokenize(column: pa.Array) -> Tokens:
+class Forms(NamedTuple):
+    """Texts as plain tokens, and as templates in two readings: a capital that begins a sentence is a word, or a name."""
+
+    plain: Tokens
+    templates: tuple[Tokens, Tokens]
+
+
+def _counts(mask: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=sums[1:])
+    return sums
+
+
+def tokenize(column: pa.Array) -> Forms:
     """Tokens are runs of letters and digits; a point or comma between digits belongs to a number.
 
-    A name is a word with one capital, its first letter, that begins no
-    sentence or line.
+    In templates a number with letters attached is two tokens, a name is a word with one capital, its first letter,
+    and names with only spaces or hyphens between are one placeholder.
     """
     data, offsets = vector.utf8(column)
     inside = vector.letters(data) | _DIGIT[data]
@@ -66,32 +88,48 @@ def tokenize(column: pa.Array) -> Tokens:
         inside[1:-1] |= point & digit[:-2] & digit[2:]
     start, end = vector.runs(inside, offsets)
     low = vector.lower(data)
-    literal = vector.Hasher(low)(start, end)
-    text = vector.owner(start, offsets)
+    hasher = vector.Hasher(low)
+    literal = hasher(start, end)
+    plain = Tokens(vector.owner(start, offsets), literal, literal, np.zeros(len(start), bool))
     if not len(start):
-        return Tokens(text, literal, literal, np.zeros(0, bool))
-
-    def count(mask: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(mask, out=sums[1:])
-        return sums
-
-    digits, uppers, stops = count(_DIGIT[data]), count((low != data)), count(_STOP[data])
-    continuation = (data & 0xC0) == 0x80
+        return Forms(plain, (plain, plain))
+
+    digits, uppers, stops, apart = _counts(_DIGIT[data]), _counts(low != data), _counts(_STOP[data]), _counts(_JOINS[data])
+    points = _counts((data == 46) | (data == 44))
+    # A number with letters attached: digits, and points between them, up to the first letter and none after.
+    whole = _DIGIT[data[start]] & ~_DIGIT[data[end - 1]]
+    cut = start + digits[end] - digits[start] + points[end] - points[start]
+    whole &= _DIGIT[data[cut - 1]] & (digits[cut] + points[cut] - digits[start] - points[start] == cut - start)
+    at = np.flatnonzero(whole)
+    start, end = np.insert(start, at + 1, cut[at]), np.insert(end, at, cut[at])
+    text, literal = vector.owner(start, offsets), hasher(start, end)
+
+    continuation = _counts((data & 0xC0) == 0x80)
     number = (digits[end] > digits[start]) & _DIGIT[data[start]] & _DIGIT[data[end - 1]]
     first = np.append(True, text[1:] != text[:-1])
-    after = np.append(0, end[:-1])
-    begins = first | (stops[start] > stops[np.where(first, start, after)])
+    after = np.where(first, start, np.append(0, end[:-1]))
+    begins = first | (stops[start] > stops[after])
     follows_number = np.append(False, number[:-1]) & ~first
     known = np.sort(vector.Hasher(np.frombuffer(" ".join(UNITS).encode(), np.uint8))(*_unit_spans()))
     unit = follows_number & (vector.find(known, literal) >= 0)
     capital = low[start] != data[start]
     capital |= np.where(end - start > 1, (data[start] == 0xC3) & (low[np.minimum(start + 1, len(data) - 1)] != data[np.minimum(start + 1, len(data) - 1)]), False)
-    letters = end - start - np.diff(np.append(0, np.cumsum(continuation)))[start]
-    name = capital & (uppers[end] - uppers[start] == 1) & (letters > 1) & ~begins & ~number
-    typed = literal.copy()
-    typed[number], typed[unit], typed[name] = _NUMBER, _UNIT, _NAME
-    return Tokens(text, literal, typed, number | unit | name)
+    letters = end - start - (continuation[end] - continuation[start])
+    name = capital & (uppers[end] - uppers[start] == 1) & (letters > 1) & ~number & ~unit
+    joined = ~begins & (apart[start] == apart[after])
+
+    def reading(name: np.ndarray) -> Tokens:
+        more = name & joined & np.append(False, name[:-1])
+        head = np.flatnonzero(~more)
+        last = np.append(head[1:], len(start)) - 1
+        several = last > head
+        word = literal[head]
+        word[several] = hasher(start[head[several]], end[last[several]])
+        typed = word.copy()
+        typed[number[head]], typed[unit[head]], typed[name[head]] = _NUMBER, _UNIT, _NAME
+        return Tokens(text[head], word, typed, (number | unit | name)[head])
+
+    return Forms(plain, (reading(name & ~begins), reading(name)))
 
 
 def _unit_spans() -> tuple[np.ndarray, np.ndarray]:
@@ -122,36 +160,56 @@ class _Index(NamedTuple):
     place: np.ndarray
 
 
+class Template(NamedTuple):
+    """One reading of the items of a block."""
+
+    tokens: Tokens
+    begin: np.ndarray  # where an item's tokens begin, and the last ends
+    index: _Index
+    n: np.ndarray  # windows of templates an item
+    whole: _Index  # of items without such windows, the window with the most words
+
+
 class Block(NamedTuple):
     """What of the benchmark is looked up at once."""
 
     ids: list
-    begin: np.ndarray  # where an item's tokens begin
-    tokens: Tokens
     plain: _Index
-    template: _Index
     n_plain: np.ndarray  # distinct plain windows an item
-    n_template: np.ndarray  # windows of templates an item
+    templates: tuple[Template, Template]
 
 
-def _index(tokens: Tokens, begin: np.ndarray, typed: bool, width: int, least_literal: int) -> _Index:
-    hashed, valid = _windows(tokens, typed, width, least_literal)
-    at = np.flatnonzero(valid)
+def _index(tokens: Tokens, begin: np.ndarray, hashed: np.ndarray, at: np.ndarray) -> _Index:
     at = at[np.argsort(hashed[at], kind="stable")]
     keys, first = np.unique(hashed[at], return_index=True)
     item = tokens.text[at]
     return _Index(keys, np.append(first, len(at)), item, at - begin[item])
 
 
+def _template(tokens: Tokens, n_items: int, width: int, least_literal: int) -> Template:
+    begin = np.searchsorted(tokens.text, np.arange(n_items + 1))
+    hashed, valid = _windows(tokens, True, width, least_literal)
+    index = _index(tokens, begin, hashed, np.flatnonzero(valid))
+    n = np.bincount(index.item, minlength=n_items)
+    words = _counts(~tokens.slot)
+    best = []
+    for item in np.flatnonzero(n == 0):
+        a, b = begin[item], begin[item + 1]
+        if b - a >= width and LEAST_WHOLE <= words[b] - words[a] < b - a:
+            best.append(a + int(np.argmax(words[a + width : b + 1] - words[a : b - width + 1])))
+    return Template(tokens, begin, index, n, _index(tokens, begin, hashed, np.array(best, np.int64)))
+
+
 def build_block(ids: list, texts: list[str | None], width: int = WIDTH, least_literal: int = LEAST_LITERAL) -> Block:
     """The index of some benchmark items.  An item of fewer tokens than a window is never found by windows."""
-    tokens = tokenize(pa.array(texts, pa.string()))
-    begin = np.searchsorted(tokens.text, np.arange(len(ids)))
-    plain, template = (_index(tokens, begin, typed, width, least_literal) for typed in (False, True))
+    forms = tokenize(pa.array(texts, pa.string()))
+    tokens = forms.plain
+    begin = np.searchsorted(tokens.text, np.arange(len(ids) + 1))
     hashed, valid = _windows(tokens, False, width, least_literal)
     pairs = np.unique(np.stack([tokens.text[: len(hashed)][valid].astype(np.uint64), hashed[valid]]), axis=1)
     n_plain = np.bincount(pairs[0].astype(np.int64), minlength=len(ids)) if pairs.size else np.zeros(len(ids), np.int64)
-    return Block(ids, begin, tokens, plain, template, n_plain, np.bincount(template.item, minlength=len(ids)))
+    templates = tuple(_template(t, len(ids), width, least_literal) for t in forms.templates)
+    return Block(ids, _index(tokens, begin, hashed, np.flatnonzero(valid)), n_plain, templates)
 
 
 def _hits(index: _Index, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,19 +222,65 @@ def _hits(index: _Index, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndar
     return np.repeat(at, times), index.item[rows], index.place[rows]
 
 
-def _consistent(block: Block, tokens: Tokens, item: int, shift: int, places: np.ndarray, width: int) -> bool:
-    """Whether each filling of the item's slots, in these windows, is exchanged for one other, and two never for the same."""
-    there = np.unique((places[:, None] + np.arange(width)).reshape(-1))
-    own = block.begin[item] + there
-    slots = block.tokens.slot[own]
-    a, b = block.tokens.literal[own[slots]], tokens.literal[there[slots] + shift]
-    pairs = np.unique(np.stack([a, b]), axis=1)
+def _consistent(own: Tokens, tokens: Tokens, here: np.ndarray, there: np.ndarray) -> bool:
+    """Whether each filling of the item's slots, at these places, is exchanged for one other, and two never for the same.
+
+    Where the shift changes, a place that meets several is the filling with another number of tokens, and not compared.
+    """
+    here, there = np.unique(np.stack([here, there]), axis=1)
+    single = np.ones(len(here), bool)
+    for places in (here, there):
+        _, of, times = np.unique(places, return_inverse=True, return_counts=True)
+        single &= times[of] == 1
+    slots = own.slot[here] & single
+    pairs = np.unique(np.stack([own.literal[here[slots]], tokens.literal[there[slots]]]), axis=1)
     return len(np.unique(pairs[0])) == pairs.shape[1] == len(np.unique(pairs[1]))
 
 
+def _held(template: Template, tokens: Tokens, text: int, item: int, shifts: np.ndarray, width: int, least: float) -> float:
+    """The share of an item's windows that a text holds at some of these shifts, 0 if below ``least`` or not consistent.
+
+    Windows without a slot count as well: they must be there as they stand.  A window found at several
+    shifts counts at the first.
+    """
+    a, b = int(template.begin[item]), int(template.begin[item + 1])
+    n = b - a - width + 1
+    shift_of = np.zeros(n, np.int64)
+    covered = np.zeros(n, bool)
+    for shift in shifts.tolist():
+        low, high = max(0, -shift), min(b - a, len(tokens.typed) - shift)
+        if high - low < width:
+            continue
+        same = np.zeros(b - a, bool)
+        same[low:high] = (template.tokens.typed[a + low : a + high] == tokens.typed[low + shift : high + shift]) & (tokens.text[low + shift : high + shift] == text)
+        sums = _counts(same)
+        new = (sums[width:] - sums[:-width] == width) & ~covered
+        if not new.any():
+            continue
+        covered |= new
+        shift_of[new] = shift
+    share = float(covered.mean())
+    if share < least:
+        return 0.0
+    places = np.flatnonzero(covered)
+    here = (places[:, None] + np.arange(width)).reshape(-1)
+    return share if _consistent(template.tokens, tokens, a + here, here + np.repeat(shift_of[places], width)) else 0.0
+
+
+def _alignments(text: np.ndarray, item: np.ndarray, shift: np.ndarray, place: np.ndarray, drift: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """Hits of one item in one text whose shifts lie close together: text, item, the shifts, and how many places were hit."""
+    order = np.lexsort([shift, item, text])
+    text, item, shift, place = text[order], item[order], shift[order], place[order]
+    new = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > drift)
+    cut = np.flatnonzero(np.append(True, new))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(text)).tolist(), strict=True):
+        yield int(text[a]), int(item[a]), np.unique(shift[a:b]), len(np.unique(place[a:b]))
+
+
 def find_leaks(block: Block, column: pa.Array, width: int = WIDTH, coverage: float = COVERAGE, least_literal: int = LEAST_LITERAL) -> list[tuple[int, int, float, str]]:
     """(text, item, coverage, kind) of the items that the texts hold."""
-    tokens = tokenize(column)
+    forms = tokenize(column)
+    tokens = forms.plain
     found: dict[tuple[int, int], tuple[float, str]] = {}
     hashed, valid = _windows(tokens, False, width, least_literal)
     at, item, _ = _hits(block.plain, hashed, valid)
@@ -186,31 +290,22 @@ def find_leaks(block: Block, column: pa.Array, width: int = WIDTH, coverage: flo
         share = n / block.n_plain[pairs[1].astype(np.int64)]
         for k in np.flatnonzero(share >= coverage):
             found[int(pairs[0, k]), int(pairs[1, k])] = float(share[k]), "copy"
-    hashed, valid = _windows(tokens, True, width, least_literal)
-    at, item, place = _hits(block.template, hashed, valid)
-    if len(at):
-        # One alignment: a text, an item and how far the item is shifted.
-        key = np.stack([tokens.text[at], item, at - place])
-        order = np.lexsort(key[::-1])
-        key, place = key[:, order], place[order]
-        cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        for a, b in zip(cut, np.append(cut[1:], key.shape[1]), strict=True):
-            text, one, shift = (int(x) for x in key[:, a])
-            share = (b - a) / block.n_template[one]
-            n_slots_share = block.n_template[one] / max(1, block.n_plain[one])
-            if (text, one) in found or share < coverage:
+    for template, tokens in zip(block.templates, forms.templates, strict=True):
+        hashed, valid = _windows(tokens, True, width, least_literal)
+        at, item, place = _hits(template.index, hashed, valid)
+        for text, one, shifts, n_hit in _alignments(tokens.text[at], item, at - place, place, DRIFT) if len(at) else ():
+            n = int(template.begin[one + 1] - template.begin[one]) - width + 1
+            # No more windows than that may be missing, whichever they are.
+            if (text, one) in found or template.n[one] - n_hit > (1 - coverage) * n + 1e-9:
                 continue
-            # Windows without a slot count as well: they must be there as they stand.
-            length = np.searchsorted(block.tokens.text, one + 1) - block.begin[one]
-            own = block.tokens.typed[block.begin[one] : block.begin[one] + length]
-            low, high = max(0, -shift), min(length, len(tokens.typed) - shift)
-            same = np.zeros(length, bool)
-            if high > low:
-                same[low:high] = (own[low:high] == tokens.typed[low + shift : high + shift]) & (tokens.text[low + shift : high + shift] == text)
-            whole = np.convolve(same, np.ones(width, int), "valid") == width if length >= width else same[:0]
-            share = float(whole.mean()) if len(whole) else 0.0
-            if share >= coverage and n_slots_share > 0 and _consistent(block, tokens, one, shift, np.flatnonzero(whole), width):
+            if share := _held(template, tokens, text, one, shifts, width, coverage):
                 found[text, one] = share, "template"
+        if len(template.whole.keys):
+            inside = tokens.text[: len(hashed)] == tokens.text[width - 1 : width - 1 + len(hashed)]
+            at, item, place = _hits(template.whole, hashed, inside)
+            for text, one, shift in zip(tokens.text[at].tolist(), item.tolist(), (at - place).tolist(), strict=True):
+                if (text, one) not in found and _held(template, tokens, text, one, np.array([shift]), width, 1.0):
+                    found[text, one] = 1.0, "template"
     return [(t, i, c, kind) for (t, i), (c, kind) in sorted(found.items())]
 
 
@@ -235,7 +330,9 @@ def benchmark_leaks(
 
     ``copy``: at least ``coverage`` of the item's distinct windows of ``width`` tokens are in the
     document, whatever the case, spacing and punctuation.  ``template``: the item's windows are there
-    in one place with numbers, units or names exchanged, each for one other throughout.
+    in one place with numbers, units or names exchanged, each for one other throughout; a filling may have another
+    number of tokens.  An item without a window of ``least_literal`` words and a placeholder is held as a whole template
+    or not at all, if it has ``LEAST_WHOLE`` words.
 
     Items with fewer than ``width`` tokens have no windows and are never found; so are null
     and empty texts.  Repeated items and documents give repeated pairs.  A null doc_id stays null.

@@ -67,6 +67,32 @@ def test_copies_and_templates(spark):
     assert leaks(spark, texts, block_tokens=10) == want  # in blocks
 
 
+TEMPLATES = {
+    "a name of another length": ("If Tom has 12 apples and Tom gives away five of them, how many does Tom keep?", "If Mary Ann has 9 apples and Mary Ann gives away five of them, how many does Mary Ann keep?"),
+    "a place of another length": ("How far from New York is the train that left New York at noon?", "How far from Paris is the train that left Paris at noon?"),
+    "names that begin sentences": ("Ann has 3 cats. Ann buys 4 more. How many cats does Ann have?", "Ben has 5 cats. Ben buys 6 more. How many cats does Ben have?"),
+    "units attached": ("A box of 5kg falls from the 10th floor. How long does it fall?", "A box of 7 kg falls from the 22nd floor. How long does it fall?"),
+    "few words": ("What is 12 + 35 * 7 - 4?", "What is 13 + 36 * 8 - 5?"),
+    "a number of another length": (
+        "The town of the old king had 2 500 people when the river rose and took the mill, the bridge and both of the farms at the ford",
+        "The town of the old king had 900 people when the river rose and took the mill, the bridge and both of the farms at the ford",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_exchanged_fillings(name):
+    item, other = TEMPLATES[name]
+    block = decontam.build_block([1], [item])
+    held = [(t, kind) for t, _, _, kind in decontam.find_leaks(block, pa.array([f"Some words. {other} More 5 words.", f"Some words. {item}", prose(2, 50), None]))]
+    assert held == [(0, "template"), (1, "copy")]
+
+
+def test_exchanges_stay_consistent():
+    block = decontam.build_block([1, 2], ["Ann has 3 cats. Ann buys 4 more. How many cats does Ann have?", "What is 12 + 35 * 7 - 4?"])
+    assert decontam.find_leaks(block, pa.array(["Ben has 5 cats. Tom buys 6 more. How many cats does Ben have?", "What is 13 + 13 * 8 - 5?", "What is 2 + 3?"])) == []
+
+
 def test_coverage_against_brute_force(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in catalog.QUERIES["op1_decontam"](spark, sf).collect()}
