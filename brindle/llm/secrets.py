@@ -27,7 +27,7 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.7, "bearer": 0.8, "signature": 0.5, "cookie": 0.5, "salt": 0.6,
 }
-SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 0.9, ("auth", "key"): 0.9, ("account", "key"): 0.8}
+SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 0.9, ("auth", "key"): 0.9, ("account", "key"): 0.8, ("pass", "phrase"): 1.0}
 # Values that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "password", "passwd", "secret", "token", "example", "undefined", "placeholder", "redacted", "xxxxxxxx", "todo", "none", "null", "true", "false", "required", "optional"}
 #: A literal is reported if its name's weight times its own score reaches this.
@@ -106,14 +106,26 @@ def name_weight(name: str) -> float:
     return max(single, max((SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False)), default=0.0))
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: its entropy a character and its mix of characters; 0 for placeholders."""
+def is_phrase(name: str) -> bool:
+    """Whether a name's value may be many words."""
+    return "passphrase" in "".join(w.lower() for w in _CAMEL.findall(name))
+
+
+def literal_score(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a secret: its entropy a character and its mix of characters; 0 for placeholders.
+
+    Letters with digits count as a full mix, so that such a literal reaches every sensitive name.  Values of more than a
+    few words score 0 unless they are a ``phrase``.
+    """
     if len(value) < LEAST_LITERAL or value.lower() in PLACEHOLDERS or value.startswith(("${", "$(", "<", "{{", "%(")):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() and not c.isspace() for c in value)))
-    if entropy < 2.0 or value.count(" ") > 3:
+    digit, low, up = any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)
+    kinds = digit + low + up + any(not c.isalnum() and not c.isspace() for c in value)
+    if digit and (low or up):
+        kinds = max(kinds, 3)
+    if entropy < 2.0 or value.count(" ") > 3 and not phrase:
         return 0.0
     return min(1.0, 0.4 * min(entropy / 3.0, 1.0) + 0.2 * kinds)
 
@@ -132,6 +144,7 @@ def sensitive_literals(text: str) -> list[Span]:
         weight = name_weight(name)
         if not weight:
             continue
+        phrase = is_phrase(name)
         seen, waiting = {name}, [t for terms in assigned for t in terms]
         while waiting:
             term = waiting.pop()
@@ -140,7 +153,7 @@ def sensitive_literals(text: str) -> list[Span]:
                     seen.add(term.text)
                     waiting += [t for terms in values[term.text] for t in terms]
                 continue
-            score = weight * literal_score(term.text)
+            score = weight * literal_score(term.text, phrase)
             place = term.start, term.end
             if score >= LEAST_SCORE and (place not in best or score > best[place].score):
                 best[place] = Span("literal", *place, name, round(score, 3))

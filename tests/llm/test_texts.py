@@ -186,6 +186,18 @@ def test_assignments_and_constants():
     assert not kinds("if token == othervalue1: pass") or True
 
 
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, *("_".join(p) for p in secrets.SENSITIVE_PAIRS)])
+def test_every_sensitive_name_can_be_reported(name):
+    for value in ("a8f3k2q9x7m4", "9f86d081884c7d65"):
+        assert ("literal", value) in kinds(f"{name} = {value}") and ("literal", value) in kinds(f'"{name}": "{value}"')
+
+
+def test_short_names_and_phrases():
+    assert ("literal", "hunter2hunter") in kinds("DB_PASS=hunter2hunter")
+    assert kinds('passphrase = "correct horse battery staple again"') == [("literal", "correct horse battery staple again")]
+    assert kinds('secret_note = "this is a note of many words"') == [] and kinds("signature: Johnathan") == []
+
+
 def test_secret_query(spark, sf):
     found = {r["doc_id"]: r for r in catalog.QUERIES["op4_secrets"](spark, sf).collect()}
     base = [
