@@ -33,6 +33,8 @@ PLACEHOLDERS = {"changeme", "password", "passwd", "secret", "token", "example",
 #: A literal is reported if its name's weight times its own score reaches this.
 LEAST_SCORE = 0.5
 LEAST_LITERAL = 8
+#: A joined value of more parts, of constants nested deeper, or with more values in all is scored part by part only.
+MOST_PARTS, MOST_DEPTH, MOST_VALUES = 64, 32, 64
 
 
 class Span(NamedTuple):
@@ -49,7 +51,14 @@ class Span(NamedTuple):
 
 _OPERATOR = re.compile(r":=|=>|=(?!=)|:(?![:/=])")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*")
-_TERM = re.compile(r"""[ \t]*(?:[fbruFBRU]{0,2}"((?:[^"\\\n]|\\.)*)"|[fbruFBRU]{0,2}'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$@%&!~^*-]+))""")
+_TERM = re.compile(
+    r"""[ \t]*(?:[fbruFBRU]{0,2}(?s:\"\"\"(.*?)\"\"\")|[fbruFBRU]{0,2}(?s:\'\'\'(.*?)\'\'\')|[fbruFBRU]{0,2}"((?:[^"\\\n]|\\.)*)"|[fbruFBRU]{0,2}'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"""
+    r"""|((?:\$\{[^}\s"'`]*\}|[A-Za-z0-9+/_.=$@%&!~^*-])+))"""
+)
+_BARE = 6  # the group of bare words
+_BLOCK = re.compile(r"[ \t]*[|>][0-9+-]{0,2}[ \t]*\r?\n")  # a YAML value on the next lines
+_LINE = re.compile(r"([ \t]*)([^\r\n]*)\r?\n?")
+_REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
 _PLUS = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_$])")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -68,7 +77,8 @@ def pairs(text: str) -> Iterator[tuple[str, list[Term]]]:
     """Names and the terms of the values assigned to them.
 
     A name is an identifier, perhaps quoted, before ``=``, ``:``, ``:=`` or ``=>``; a value is a quoted
-    literal or a bare word, or several joined by ``+`` or ``.``.  Each operator looks at the line around it alone.
+    literal or a bare word, or several joined by ``+`` or ``.``.  Each operator looks at the line around it alone,
+    but for triple quotes and the indented lines of a YAML block, which are the parts of one value.
     """
     for operator in _OPERATOR.finditer(text):
         at = operator.start()
@@ -86,11 +96,15 @@ def pairs(text: str) -> Iterator[tuple[str, list[Term]]]:
         found = _IDENTIFIER.search(text, at, end)
         if not found:
             continue
-        terms = []
         place = operator.end()
-        while term := _TERM.match(text, place):
+        block = _BLOCK.match(text, place) if operator.group() == ":" else None
+        terms = _block_lines(text, at, block.end()) if block else []
+        while not block and (term := _TERM.match(text, place)):
             group = term.lastindex
-            terms.append(Term(term.group(group), term.start(group), term.end(group), group < 4))
+            value = term.group(group)
+            begin = term.start(group) + len(value) - len(value.lstrip()) if group < 3 else term.start(group)
+            value = value.strip() if group < 3 else value
+            terms.append(Term(value, begin, begin + len(value), group < _BARE))
             more = _PLUS.match(text, term.end())
             if not more:
                 break
@@ -99,6 +113,21 @@ def pairs(text: str) -> Iterator[tuple[str, list[Term]]]:
             yield found.group(), terms
 
 
+def _block_lines(text: str, at: int, place: int) -> list[Term]:
+    """The lines from ``place`` on that are indented more than the line of ``at``."""
+    own = _LINE.match(text, text.rfind("\n", 0, at) + 1).end(1) - text.rfind("\n", 0, at) - 1
+    terms = []
+    while place < len(text):
+        line = _LINE.match(text, place)
+        if line.group(2):
+            if line.end(1) - line.start() <= own:
+                break
+            value = line.group(2).rstrip()
+            terms.append(Term(value, line.start(2), line.start(2) + len(value), True))
+        place = line.end()
+    return terms
+
+
 def name_weight(name: str) -> float:
     """How surely a name's value is secret, from its parts in snake, kebab, dotted or camel case."""
     words = [w.lower() for w in _CAMEL.findall(name)]
@@ -130,33 +159,88 @@ def literal_score(value: str, phrase: bool = False) -> float:
     return min(1.0, 0.4 * min(entropy / 3.0, 1.0) + 0.2 * kinds)
 
 
+def _parts(term: Term, values: dict[str, list[list[Term]]]) -> list[tuple[Term, str | None]]:
+    """A term as literal pieces and constants: each piece, and the constant's name (None for a literal)."""
+    if not term.quoted and term.text in values:
+        return [(term, term.text)]
+    found, done = [], 0
+    if "$" in term.text:
+        for m in _REFERENCE.finditer(term.text):
+            name = m.group(1) or m.group(2)
+            name = name if name in values else "$" + name
+            if name not in values:
+                continue
+            if m.start() > done:
+                found.append((Term(term.text[done : m.start()], term.start + done, term.start + m.start(), term.quoted), None))
+            found.append((Term(m.group(), term.start + m.start(), term.start + m.end(), False), name))
+            done = m.end()
+    if not found:
+        return [(term, None)]
+    if done < len(term.text):
+        found.append((Term(term.text[done:], term.start + done, term.end, term.quoted), None))
+    return found
+
+
+def _joined(terms: list[Term], values: dict[str, list[list[Term]]], depth: int = 0) -> list[list[Term]]:
+    """The literals that the terms are in a row, for each choice of the constants' values; none if a part is not known."""
+    if depth > MOST_DEPTH:
+        return []
+    choices: list[list[Term]] = [[]]
+    for term in terms:
+        parts = _parts(term, values)
+        for part, name in parts:
+            if name is not None:
+                own = [c for assigned in values[name][:MOST_VALUES] for c in _joined(assigned, values, depth + 1)]
+            elif not part.quoted and (len(terms) > 1 or "${" in part.text):
+                own = []
+            else:
+                own = [[part]]
+            choices = [a + b for a in choices for b in own] if len(choices) * len(own) <= MOST_VALUES else []
+            if not choices or max(map(len, choices)) > MOST_PARTS:
+                return []
+    return choices
+
+
 def sensitive_literals(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants.
 
-    A bare word that is itself the name of an assigned value stands for that value's literals, through any
-    number of steps; a name assigned more than once stands for all its values.
+    A bare word that is itself the name of an assigned value, and ``$name`` or ``${name}``, stand for that value's
+    literals, through any number of steps; a name assigned more than once stands for all its values.  The
+    literals of a joined value are reported by the score of the whole, or by their own if that is higher.
     """
     values: dict[str, list[list[Term]]] = {}
     for name, terms in pairs(text):
         values.setdefault(name, []).append(terms)
     best: dict[tuple[int, int], Span] = {}
+
+    def report(terms: list[Term], name: str, score: float) -> None:
+        for term in terms:
+            place = term.start, term.end
+            if score >= LEAST_SCORE and term.start < term.end and (place not in best or score > best[place].score):
+                best[place] = Span("literal", *place, name, round(score, 3))
+
+    joined: dict[str, list[list[Term]]] = {}
     for name, assigned in values.items():
         weight = name_weight(name)
         if not weight:
             continue
         phrase = is_phrase(name)
-        seen, waiting = {name}, [t for terms in assigned for t in terms]
+        seen, waiting = {name}, [name]
         while waiting:
-            term = waiting.pop()
-            if not term.quoted and term.text in values:
-                if term.text not in seen:
-                    seen.add(term.text)
-                    waiting += [t for terms in values[term.text] for t in terms]
-                continue
-            score = weight * literal_score(term.text, phrase)
-            place = term.start, term.end
-            if score >= LEAST_SCORE and (place not in best or score > best[place].score):
-                best[place] = Span("literal", *place, name, round(score, 3))
+            one = waiting.pop()
+            for terms in values[one]:
+                parts = [p for t in terms for p in _parts(t, values)]
+                for part, constant in parts:
+                    if constant is None:
+                        if part.quoted or "${" not in part.text:
+                            report([part], name, weight * literal_score(part.text, phrase))
+                    elif constant not in seen:
+                        seen.add(constant)
+                        waiting.append(constant)
+            if one not in joined:
+                joined[one] = [c for terms in values[one] if len(terms) > 1 or len(_parts(terms[0], values)) > 1 for c in _joined(terms, values)]
+            for literals in joined[one]:
+                report(literals, name, weight * literal_score("".join(t.text for t in literals), phrase))
     return list(best.values())
 
 

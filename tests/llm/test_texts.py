@@ -198,6 +198,23 @@ def test_short_names_and_phrases():
     assert kinds('secret_note = "this is a note of many words"') == [] and kinds("signature: Johnathan") == []
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("X=Zx81-qq-7712\nDB_PASSWORD=$X", ["Zx81-qq-7712"]), ("X=Zx81-qq-7712\nDB_PASSWORD=${X}\n", ["Zx81-qq-7712"]),
+    ('X=Zx81-qq-7712\nexport DB_PASSWORD="${X}"', ["Zx81-qq-7712"]), ('password = "abcd12" + "EF34-x"', ["abcd12", "EF34-x"]),
+    ('PRE = "abcd12"\nSUF = "EF34-x"\npassword = PRE + SUF', ["abcd12", "EF34-x"]), ("A=abcd12\nB=EF34-x\nPASSWORD=${A}${B}", ["abcd12", "EF34-x"]),
+    ('A = "ab1"\nB = A + "cd2"\nsecret = B + "ef3"', ["ab1", "cd2", "ef3"]), ('password = """Zx81-qq-7712"""', ["Zx81-qq-7712"]),
+    ("db:\n  password: |\n    Zx81-qq-7712\n  color: blue-green-77", ["Zx81-qq-7712"]), ("token = TRIPLE\n Zx81-qq-7712\nTRIPLE".replace("TRIPLE", "'" * 3), ["Zx81-qq-7712"]),
+])
+def test_references_joins_and_blocks(text, want):
+    assert [found for kind, found in kinds(text) if kind == "literal"] == want
+
+
+def test_unknown_parts_and_growth_are_harmless():
+    assert kinds("token = prefix + suffixes") == [] and kinds("auth = ${VAULT_VALUE_1}x9") == []
+    assert kinds("a = b + b\nb = a + a\npwd = a + b") == []
+    assert kinds("\n".join(f"c{k} = c{k + 1} + c{k + 1}" for k in range(200)) + '\nc200 = "Zx81-qq-7712"\npwd = c0')[0] == ("literal", "Zx81-qq-7712")
+
+
 def test_secret_query(spark, sf):
     found = {r["doc_id"]: r for r in catalog.QUERIES["op4_secrets"](spark, sf).collect()}
     base = [
