@@ -1,18 +1,25 @@
 """Folds of ordered events to read models, in three tiers.
 
 Declared folds become grouped aggregates, which Spark combines before the shuffle; a fold given as a function of
-columns runs over a sorted array; a fold given in Python runs group by group in pandas.
+columns runs over sorted arrays; a fold given in Python runs over each key's sorted events with one state in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: A fold of columns with ``merge`` holds at most 2 ** CHUNK_BITS events or states in an array.
+CHUNK_BITS = 16
+#: States that a fold in Python gives to Spark at once.
+OUT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -88,26 +95,58 @@ def slice_by(events: DataFrame, *rules: tuple[str, Column], name: str = "slice_k
     return sliced.withColumn(name, F.explode(name)) if sliced.schema[name].dataType.typeName() == "array" else sliced
 
 
-def fold_function(events: DataFrame, key: str, columns: Sequence[str], zero: Column, step: Callable[[Column, Column], Column], name: str = "state") -> DataFrame:
-    """A fold as a function of (state, event) columns; a key's events have to fit in memory."""
+def fold_function(
+    events: DataFrame, key: str, columns: Sequence[str], zero: Column, step: Callable[[Column, Column], Column], name: str = "state", merge: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """A fold as a function of (state, event) columns.
+
+    ``merge`` joins the states of two stretches of events, each folded from ``zero``, the earlier one first.  With it a
+    key's events are folded in stretches of seq_id, so that no array has more than 2 ** CHUNK_BITS elements; without
+    it a key's events have to fit in memory, and ``fold_pandas`` is the fold for hot keys.
+    """
+    if merge is None:
+        rows = F.array_sort(F.collect_list(F.struct("seq_id", *columns)))
+        return events.groupBy(key).agg(F.aggregate(rows, zero, step).alias(name))
+    stretch = F.shiftright("seq_id", CHUNK_BITS)
     rows = F.array_sort(F.collect_list(F.struct("seq_id", *columns)))
-    return events.groupBy(key).agg(F.aggregate(rows, zero, step).alias(name))
+    states = events.groupBy(key, stretch.alias("_stretch")).agg(F.aggregate(rows, zero, step).alias(name))
+    for last in (False, False, True):  # seq_id has less than four times CHUNK_BITS
+        parts = F.sort_array(F.collect_list(F.struct("_stretch", F.struct(F.col(name).alias("state")).alias("of"))))
+        parts = F.transform(parts, lambda p: p["of"]["state"])
+        folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), merge).alias(name)
+        keys = [key] if last else [key, F.shiftright("_stretch", CHUNK_BITS).alias("_stretch")]
+        states = states.groupBy(*keys).agg(folded)
+    return states
 
 
 def fold_pandas(events: DataFrame, key: str, columns: Sequence[str], step: Callable[[dict | None, dict], dict | None], schema: str) -> DataFrame:
     """A fold in Python: ``step`` takes the state (None at first) and an event, and None ends a state.
 
-    ``schema`` is that of the key and the state's members.  A key's events have to fit in memory.
+    ``schema`` is that of the key and the state's members.  Events come key by key in the order of seq_id, as a sorted
+    stream: besides a batch of them only the state of the current key is in memory.  Null members are None.
     """
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict | None = None
-        for event in rows.sort_values("seq_id").to_dict("records"):
-            state = step(state, event)
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame([{key: rows[key].iloc[0], **state}] if state is not None else [], columns=names)
-
-    return events.select(key, "seq_id", *columns).groupBy(key).applyInPandas(group, schema)
+        current, started, done = None, False, []
+        for batch in batches:
+            for event in batch.to_pylist():
+                one = event[key]
+                if not started or one != current and not (one != one and current != current):
+                    if state is not None:
+                        done.append({key: current, **state})
+                    state, current, started = None, one, True
+                    if len(done) >= OUT_ROWS:
+                        yield pa.RecordBatch.from_pylist(done, out)
+                        done = []
+                state = step(state, event)
+        if state is not None:
+            done.append({key: current, **state})
+        yield pa.RecordBatch.from_pylist(done, out)
+
+    rows = events.select(key, "seq_id", *columns).repartition(key).sortWithinPartitions(key, "seq_id")
+    return rows.mapInArrow(folded, schema)
 
 
 @dataclass(frozen=True)

@@ -388,6 +388,7 @@ def fold_by_function(s: SparkSession, d: str) -> DataFrame:
     folded = fold_function(
         log(s, d), "stream_id", ["type"], zero,
         lambda a, e: F.struct((a["clicks"] + F.when(e["type"] == "click", 1).otherwise(0)).cast("bigint").alias("clicks"), e["type"].alias("last_type")),
+        merge=lambda a, b: F.struct((a["clicks"] + b["clicks"]).alias("clicks"), b["last_type"].alias("last_type")),
     )
     return folded.select("stream_id", "state.*")
 

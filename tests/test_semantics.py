@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import predicates as P
 from brindle.operators import paging, patch
+from brindle.operators import fold as fold_module
 from brindle.operators.fold import ColumnMap, Member, flat_table, fold, fold_function, fold_pandas, slice_by, timeline
 from brindle.operators.sequence import global_row_number, running_total
 from brindle.operators.session import Session, count_if
@@ -240,6 +241,18 @@ def test_folds_agree_and_deletes_reset(spark):
     assert [r["total"] for r in steps.orderBy("seq_id").collect()] == [7.0, 7.0, 8.0]
 
 
+def test_folds_of_a_hot_key_hold_no_whole_stream(spark, monkeypatch):
+    monkeypatch.setattr(fold_module, "CHUNK_BITS", 3)
+    rows = log(spark, *((k, "hot" if k % 3 else f"s{k % 7}", k, str(k % 10), k) for k in range(500)))
+    digits = {"zero": F.lit(""), "step": lambda a, e: F.concat(a, e["type"]), "columns": ["type"]}
+    whole = fold_function(rows, "stream_id", **digits)
+    merged = fold_function(rows, "stream_id", **digits, merge=lambda a, b: F.concat(a, b))
+    python = fold_pandas(rows, "stream_id", ["type"], lambda s, e: {"state": (s or {"state": ""})["state"] + e["type"]}, "stream_id string, state string")
+    assert values(merged) == values(whole) == values(python)
+    plan = python._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_whole_log_folds_see_long_and_late_streams(spark, tmp_path):
     rows = [(k, 1 if k < 40 else 50, "signup" if k in (30, 45) else "click", dt.datetime(2024, 1, 1), 99.0, "{}") for k in range(60)]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
