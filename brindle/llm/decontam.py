@@ -176,6 +176,7 @@ class Block(NamedTuple):
     ids: list
     plain: _Index
     n_plain: np.ndarray  # distinct plain windows an item
+    short: dict[int, _Index]  # items of fewer tokens than a window, whole, by their number of tokens
     templates: tuple[Template, Template]
 
 
@@ -201,7 +202,7 @@ def _template(tokens: Tokens, n_items: int, width: int, least_literal: int) -> T
 
 
 def build_block(ids: list, texts: list[str | None], width: int = WIDTH, least_literal: int = LEAST_LITERAL) -> Block:
-    """The index of some benchmark items.  An item of fewer tokens than a window is never found by windows."""
+    """The index of some benchmark items.  An item of fewer tokens than a window is a window of its own length."""
     forms = tokenize(pa.array(texts, pa.string()))
     tokens = forms.plain
     begin = np.searchsorted(tokens.text, np.arange(len(ids) + 1))
@@ -209,7 +210,11 @@ def build_block(ids: list, texts: list[str | None], width: int = WIDTH, least_li
     pairs = np.unique(np.stack([tokens.text[: len(hashed)][valid].astype(np.uint64), hashed[valid]]), axis=1)
     n_plain = np.bincount(pairs[0].astype(np.int64), minlength=len(ids)) if pairs.size else np.zeros(len(ids), np.int64)
     templates = tuple(_template(t, len(ids), width, least_literal) for t in forms.templates)
-    return Block(ids, _index(tokens, begin, hashed, np.flatnonzero(valid)), n_plain, templates)
+    short = {}
+    for size in range(1, width):
+        if len(at := begin[:-1][np.diff(begin) == size]):
+            short[size] = _index(tokens, begin, vector.window_hash(tokens.literal, size), at)
+    return Block(ids, _index(tokens, begin, hashed, np.flatnonzero(valid)), n_plain, short, templates)
 
 
 def _hits(index: _Index, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,6 +295,10 @@ def find_leaks(block: Block, column: pa.Array, width: int = WIDTH, coverage: flo
         share = n / block.n_plain[pairs[1].astype(np.int64)]
         for k in np.flatnonzero(share >= coverage):
             found[int(pairs[0, k]), int(pairs[1, k])] = float(share[k]), "copy"
+    for size, index in block.short.items():
+        hashed, valid = _windows(tokens, False, size, 0)
+        at, item, _ = _hits(index, hashed, valid)
+        found |= {pair: (1.0, "copy") for pair in zip(tokens.text[at].tolist(), item.tolist(), strict=True)}
     for template, tokens in zip(block.templates, forms.templates, strict=True):
         hashed, valid = _windows(tokens, True, width, least_literal)
         at, item, place = _hits(template.index, hashed, valid)
@@ -334,8 +343,8 @@ def benchmark_leaks(
     number of tokens.  An item without a window of ``least_literal`` words and a placeholder is held as a whole template
     or not at all, if it has ``LEAST_WHOLE`` words.
 
-    Items with fewer than ``width`` tokens have no windows and are never found; so are null
-    and empty texts.  Repeated items and documents give repeated pairs.  A null doc_id stays null.
+    Items with fewer than ``width`` tokens are found as whole copies only.  Null and empty texts are never
+    found.  Repeated items and documents give repeated pairs.  A null doc_id stays null.
     An empty table gives no pairs.  Other columns are ignored.
 
     The join is by hash against blocks of the benchmark of bounded size, each broadcast once it

@@ -88,6 +88,14 @@ def test_exchanged_fillings(name):
     assert held == [(0, "template"), (1, "copy")]
 
 
+def test_short_items_are_found_whole():
+    block = decontam.build_block([1, 2, 3, 4], ["Name three primes", "Who was Ada?", None, "Define entropy briefly, please."])
+    texts = pa.array(["so: name  THREE primes now", "who was there? Ada", "Who was", "ada? ", "define entropy briefly please", None])
+    assert decontam.find_leaks(block, texts) == [(0, 0, 1.0, "copy"), (4, 3, 1.0, "copy")]
+    split = pa.array(["Name three", "primes. Who was", "Ada"])
+    assert decontam.find_leaks(block, split) == []
+
+
 def test_exchanges_stay_consistent():
     block = decontam.build_block([1, 2], ["Ann has 3 cats. Ann buys 4 more. How many cats does Ann have?", "What is 12 + 35 * 7 - 4?"])
     assert decontam.find_leaks(block, pa.array(["Ben has 5 cats. Tom buys 6 more. How many cats does Ben have?", "What is 13 + 13 * 8 - 5?", "What is 2 + 3?"])) == []
