@@ -102,15 +102,14 @@ _TRANSLATE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULES = ", ".join(f"('{action}', '{text}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}')" for action, text in url_filter.RULES)
 
 
-def _weight_sql(level: str) -> str:
-    return f"""{level}_sums AS (
-    SELECT count(*)::DOUBLE AS g, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k,
-        coalesce(sum(n::DOUBLE * n), 0) AS nn, coalesce(sum(k::DOUBLE * k / n), 0) AS kk FROM {level}
-), {level}_parts AS (
-    SELECT *, (kk - k * k / n) / (g - 1) AS b, (k - kk) / (n - g) AS w, (n - nn / n) / (g - 1) AS m FROM {level}_sums
-), {level}_weight AS (
-    SELECT CASE WHEN g < 2 OR n <= g THEN 1.0 ELSE (1 - rho) / rho END AS weight
-    FROM (SELECT *, least(0.99, greatest(0.01, CASE WHEN b + (m - 1) * w > 0 THEN (b - w) / (b + (m - 1) * w) ELSE 0.01 END)) AS rho FROM {level}_parts)
+def _rho_sql(level: str, above: str) -> str:
+    return f"""{level}_parts AS (
+    SELECT count(*)::DOUBLE AS g, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, sum(n::DOUBLE * n) AS nn, sum(k::DOUBLE * k / n) AS kk FROM {level} WHERE n > 0 GROUP BY {above}
+), {level}_sums AS (
+    SELECT sum(g - 1) AS df, sum(n - g) AS dw, sum(kk - k * k / n) / sum(g - 1) AS b, sum(k - kk) / sum(n - g) AS w, sum(n - nn / n) / sum(g - 1) AS m FROM {level}_parts
+), {level}_rho AS (
+    SELECT CASE WHEN coalesce(df, 0) = 0 OR dw <= 0 THEN 0.5
+        ELSE least(0.99, greatest(0.01, CASE WHEN b + (m - 1) * w > 0 THEN (b - w) / (b + (m - 1) * w) ELSE 0.01 END)) END::DOUBLE AS rho FROM {level}_sums
 )"""
 
 
@@ -126,28 +125,36 @@ WITH parsed AS (
     JOIN rules r ON (p.host = r.rule_host OR p.host LIKE '%.' || r.rule_host) AND starts_with(p.path, r.rule_path)
     GROUP BY p.host, p.path
 ), ruled AS (
-    SELECT p.*, f.rule, f.action FROM parsed p LEFT JOIN fitted f ON p.host = f.host AND p.path = f.path
-), named AS (
-    SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_SUFFIXES})
-        THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
-        CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_SUFFIXES})
-        THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
-    FROM ruled
+    SELECT p.*, f.rule, f.action, CASE WHEN array_to_string(string_split(p.host, '.')[-2:], '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END AS labels
+    FROM parsed p LEFT JOIN fitted f ON p.host = f.host AND p.path = f.path
 ), host AS (
-    SELECT host, domain, suffix, count(*) AS n, count(*) FILTER (WHERE action = 'allow') AS k FROM named WHERE rule IS NOT NULL GROUP BY ALL
-), domain AS (SELECT domain, sum(n) AS n, sum(k) AS k FROM host GROUP BY domain
-), suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM host GROUP BY suffix
-), {_weight_sql("host")}, {_weight_sql("domain")}, {_weight_sql("suffix")}, overall AS (
-    SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS mean FROM suffix
+    SELECT host, array_to_string(string_split(host, '.')[-(labels + 1):], '.') AS domain, array_to_string(string_split(host, '.')[-labels:], '.') AS suffix,
+        count(rule) AS n, count(*) FILTER (WHERE action = 'allow') AS k
+    FROM ruled GROUP BY ALL
+), {_rho_sql("host", "domain")}, counted AS (
+    SELECT *, CASE WHEN n > 0 THEN n / (1 + (n - 1) * rho) ELSE 0 END::DOUBLE AS hn, CASE WHEN n > 0 THEN k / (1 + (n - 1) * rho) ELSE 0 END::DOUBLE AS hk FROM host, host_rho
+), domain AS (
+    SELECT domain, suffix, sum(n) AS n, sum(k) AS k, sum(hn) AS inn, sum(hk) AS ink FROM counted GROUP BY domain, suffix
+), {_rho_sql("domain", "suffix")}, dealt AS (
+    SELECT domain, suffix, inn, ink, (1 - rho) / rho AS own,
+        CASE WHEN inn > 0 THEN inn / (1 + (inn - 1) * rho) ELSE 0 END::DOUBLE AS dn, CASE WHEN inn > 0 THEN ink / (1 + (inn - 1) * rho) ELSE 0 END::DOUBLE AS dk
+    FROM domain, domain_rho
+), beside AS (
+    SELECT *, greatest(0, sum(dn) OVER (PARTITION BY suffix) - dn) AS bn, greatest(0, sum(dk) OVER (PARTITION BY suffix) - dk) AS bk FROM dealt
+), domain_prior AS (
+    SELECT domain, inn, ink, (bk + 1) / (bn + 2) AS mean, (bn + 2) * own / (bn + 2 + own + 1) AS weight FROM beside
+), above AS (
+    SELECT c.host, c.n, c.k, (1 - c.rho) / c.rho AS own, greatest(0, p.inn - c.hn) + p.weight AS weight,
+        (greatest(0, p.ink - c.hk) + p.weight * p.mean) / (greatest(0, p.inn - c.hn) + p.weight) AS mean
+    FROM counted c JOIN domain_prior p ON c.domain = p.domain
+), host_prior AS (
+    SELECT host, n, k, mean, weight * own / (weight + own + 1) AS weight FROM above
 ), rated AS (
-    SELECT p.*, coalesce(h.n, 0)::DOUBLE AS hn, hw.weight AS weight,
-        (coalesce(h.k, 0) + hw.weight * (coalesce(d.k, 0) + dw.weight * (coalesce(s.k, 0) + sw.weight * o.mean) / (coalesce(s.n, 0) + sw.weight)) / (coalesce(d.n, 0) + dw.weight)) / (coalesce(h.n, 0) + hw.weight) AS good
-    FROM named p LEFT JOIN host h ON p.host = h.host LEFT JOIN domain d ON p.domain = d.domain LEFT JOIN suffix s ON p.suffix = s.suffix,
-        overall o, host_weight hw, domain_weight dw, suffix_weight sw
+    SELECT host, (k + weight * mean) / (n + weight) AS good, n + weight AS weight FROM host_prior
 )
-SELECT page_id, host, path, rule,
-    coalesce(action, CASE WHEN least(1.0, good + 1.645 * sqrt(good * (1 - good) / (hn + weight + 1.0))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM rated
+SELECT r.page_id, r.host, r.path, r.rule,
+    coalesce(r.action, CASE WHEN least(1.0, good + 1.645 * sqrt(good * (1 - good) / (weight + 1.0))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r JOIN rated t ON r.host = t.host
 """
 
 

@@ -1,6 +1,7 @@
 """Line dedup, URL filters and mixing: against SQL, plain Python, and odd input."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -101,6 +102,91 @@ def test_reputation_shrinks_to_what_stands_above(spark):
     assert url_filter.judge_urls(pages, rules=(), outcomes=labelled.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def plain_bounds(outcomes, hosts, z=1.645):
+    """The upper bound of every host by plain loops: beta priors from suffix to domain to host, siblings' pages discounted."""
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1]
+    pages = {h: [good for g, good in outcomes if g == h] for h in {*hosts, *(h for h, _ in outcomes)}}
+    count = {h: (len(p), sum(p)) for h, p in pages.items()}
+
+    def likeness(groups, above):
+        families = defaultdict(list)
+        for g, (n, k) in groups.items():
+            if n:
+                families[above(g)].append((n, k))
+        between = sum(len(f) - 1 for f in families.values())
+        within = sum(n - 1 for f in families.values() for n, _ in f)
+        if not between or not within:
+            return 0.5
+        b = w = m = 0.0
+        for f in families.values():
+            total, good = sum(n for n, _ in f), sum(k for _, k in f)
+            b += sum(n * (k / n - good / total) ** 2 for n, k in f)
+            w += sum(k * (1 - k / n) for n, k in f)
+            m += total - sum(n * n for n, _ in f) / total
+        b, w, m = b / between, w / within, m / between
+        return min(0.99, max(0.01, (b - w) / (b + (m - 1) * w) if b + (m - 1) * w > 0 else 0.01))
+
+    def summed(groups, rho, above):
+        out = defaultdict(lambda: (0.0, 0.0))
+        for g, (n, k) in groups.items():
+            if n:
+                a, b = out[above(g)]
+                out[above(g)] = a + n / (1 + (n - 1) * rho), b + k / (1 + (n - 1) * rho)
+        return out
+
+    by_domain = defaultdict(lambda: (0, 0))
+    for h, (n, k) in count.items():
+        by_domain[domain(h)] = by_domain[domain(h)][0] + n, by_domain[domain(h)][1] + k
+    rho_host, rho_domain = likeness(count, domain), likeness(by_domain, suffix)
+    out = {}
+    for h in hosts:
+        rest = {g: c for g, c in count.items() if g != h and domain(g) == domain(h)}
+        n_in, k_in = summed(rest, rho_host, domain)[domain(h)]
+        elsewhere = summed(summed({g: c for g, c in count.items() if domain(g) != domain(h)}, rho_host, domain), rho_domain, suffix)
+        n_by, k_by = elsewhere[suffix(h)]
+        mean, weight = (k_by + 1) / (n_by + 2), n_by + 2
+        for (n, k), rho in (((n_in, k_in), rho_domain), (count[h], rho_host)):
+            own = (1 - rho) / rho
+            prior = weight * own / (weight + own + 1)
+            mean, weight = (k + prior * mean) / (n + prior), n + prior
+        out[h] = min(1.0, mean + z * (mean * (1 - mean) / (weight + 1)) ** 0.5)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reputation_against_plain_loops(spark, seed):
+    """Outcomes that differ inside a suffix and inside a domain; verdicts follow each host's own evidence."""
+    draw = random.Random(seed)
+    rate = {f"h{h}.d{d}.{s}": draw.choice([0.02, 0.5, 0.98]) for s in ("org", "net", "com") for d in range(4) for h in range(4)}
+    outcomes = [(h, draw.random() < r) for h, r in rate.items() for _ in range(draw.choice([0, 1, 3, 40]))]
+    hosts = [*rate, "new.d0.org", "x.fresh.net", "a.b.unseen", "unseen"]
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    labelled = spark.createDataFrame([(f"http://{h}/{k}", g) for k, (h, g) in enumerate(outcomes)], "url string, good boolean")
+    found = {r["host"]: r for r in url_filter.judge_urls(pages, rules=(), outcomes=labelled).collect()}
+    want = plain_bounds(outcomes, hosts)
+    for h in hosts:
+        assert abs(found[h]["high"] - want[h]) < 1e-9 and found[h]["verdict"] == ("block" if want[h] < 0.5 else "allow"), h
+    assert {r["verdict"] for r in found.values()} == {"allow", "block"}
+
+
+def test_an_unseen_suffix_is_not_judged_by_others(spark):
+    bad = [(f"http://h{k}.d{k % 7}.{s}/{j}", False) for k in range(60) for s in ("org", "net", "info") for j in range(5)]
+    labelled = spark.createDataFrame(bad, "url string, good boolean")
+    pages = spark.createDataFrame([(1, "http://a.b.fresh/"), (2, "http://new.d1.org/"), (3, "http://one.other.net/"), (4, None)], "page_id bigint, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules=(), outcomes=labelled).collect()}
+    assert found == {1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_tied_rules_and_repeated_pages(spark):
+    """Of rules of one length the later one wins; repeated pages are judged alike, and a bound of exactly one half allows."""
+    pages = spark.createDataFrame([(1, "http://a.com/x")] * 3, "page_id bigint, url string")
+    found = url_filter.judge_urls(pages, rules=(("allow", "a.com/"), ("block", "com/x/"), ("block", "a.com/"))).collect()
+    assert [(r["rule"], r["verdict"]) for r in found] == [("a.com/", "block")] * 3
+    open_ = url_filter.judge_urls(pages, rules=(), least_good=1.0).collect()
+    assert {(r["high"], r["verdict"]) for r in open_} == {(1.0, "allow")}
+
+
 def test_suffixes(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.com",), ("y.com",), ("com",), ("",)], "h string")
     found = rows(hosts, "h", url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h")))
