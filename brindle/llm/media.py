@@ -15,27 +15,34 @@ from brindle.llm import progressive_jpeg as jpeg
 from brindle.llm import vector
 
 BLOCK = 64
+#: Larger images are reported in ``error``: about 12 bytes a pixel are held at once.
+MOST_PIXELS = 1 << 26
+# What reading a damaged image may raise.
+_DAMAGE = (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError)
 
 
-def decode_images(frame: DataFrame, column: str = "media") -> DataFrame:
+def decode_images(frame: DataFrame, column: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """``frame`` with height, width, rgb (height x width x 3 bytes, row by row) and error added.
 
-    A null or empty value has null results; a value that is no progressive JPEG has null
-    results and a message in ``error``, and the rest of its batch is decoded.  Columns named like the new
+    A null or empty value has null results; a value that is no progressive JPEG of one or three components, that is
+    damaged anywhere, or that has more than ``most_pixels`` has null results and a message in ``error``, and the
+    rest of its batch is decoded.  Columns named like the new
     ones are replaced, others are passed on.  An empty table gives an empty table.
     """
     new = ("height", "width", "rgb", "error")
-    kept = [c for c in frame.columns if c not in new]
+    kept = [c for c in frame.columns if c.lower() not in new or c == column]
+    if column in new:
+        raise ValueError(f"the images' column may not be named {column}")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in vector.slices(whole, column):
-                rows = [_tensor(v) for v in _read(batch.column(column).to_pylist())]
+                rows = [_tensor(v, most_pixels) for v in _read(batch.column(column).to_pylist())]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *new])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in frame.select(*kept).dtypes)
-    return frame.select(*kept).mapInArrow(decode, f"{types}, height int, width int, rgb binary, error string")
+    types = ", ".join(f"`{c}` {t}" for c, t in frame.select(*[f"`{c}`" for c in kept]).dtypes)
+    return frame.select(*[f"`{c}`" for c in kept]).mapInArrow(decode, f"{types}, height int, width int, rgb binary, error string")
 
 
 def _read(files: list[bytes | None]) -> list[jpeg.Image | str | None]:
@@ -43,23 +50,28 @@ def _read(files: list[bytes | None]) -> list[jpeg.Image | str | None]:
     filled = [f for f in files if f]
     try:
         found: list = list(jpeg.read_coefficients(filled))
-    except (ValueError, IndexError, KeyError):
+    except _DAMAGE:
         found = []
         for f in filled:
             try:
                 found.append(jpeg.read_coefficients([f])[0])
-            except (ValueError, IndexError, KeyError) as error:
+            except _DAMAGE as error:
                 found.append(f"{type(error).__name__}: {error}")
     following = iter(found)
     return [next(following) if f else None for f in files]
 
 
-def _tensor(image: jpeg.Image | str | None) -> tuple:
+def _tensor(image: jpeg.Image | str | None, most_pixels: int) -> tuple:
     if image is None:
         return None, None, None, None
     if isinstance(image, str):
         return None, None, None, image
-    rgb = jpeg.to_rgb(image)
+    try:
+        if image.width * image.height > most_pixels:
+            raise ValueError(f"{image.width} x {image.height} are more than {most_pixels} pixels")
+        rgb = jpeg.to_rgb(image)
+    except _DAMAGE as error:
+        return None, None, None, f"{type(error).__name__}: {error}"
     return rgb.shape[0], rgb.shape[1], rgb.tobytes(), None
 
 

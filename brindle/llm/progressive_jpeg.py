@@ -57,7 +57,11 @@ _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
 
 
 def parse(raw: bytes) -> Image:
-    """Read the markers of a progressive (SOF2) image of 8-bit samples."""
+    """Read the markers of a progressive (SOF2) image of 8-bit samples.
+
+    What this decoder does not read is a ValueError: other kinds of JPEG, a size of zero or of more blocks than the file
+    has bits, sampling factors that do not divide the largest, no frame or several, no scan.
+    """
     if raw[:2] != b"\xff\xd8":
         raise ValueError("no JPEG: the start marker is missing")
     image, at, restart = Image(), 2, 0
@@ -65,6 +69,8 @@ def parse(raw: bytes) -> Image:
     while True:
         kind = raw[at + 1] if raw[at : at + 1] == b"\xff" and at + 1 < len(raw) else None
         if kind == 0xD9:
+            if not image.scans:
+                raise ValueError("there is no scan")
             return image
         if kind is None or at + 4 > len(raw):
             raise ValueError("a JPEG marker is missing")
@@ -74,9 +80,11 @@ def parse(raw: bytes) -> Image:
         if kind == 0xC2:
             if body[0] != 8:
                 raise ValueError("only 8-bit samples are read")
+            if image.components:
+                raise ValueError("there are several frames")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [Component(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
-            _lay_out(image)
+            _lay_out(image, 8 * len(raw))
         elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only progressive JPEG with Huffman codes is read")
         elif kind == 0xC4:
@@ -96,6 +104,8 @@ def parse(raw: bytes) -> Image:
         elif kind == 0xFE:
             image.comment += body
         elif kind == 0xDA:
+            if not image.components:
+                raise ValueError("a scan comes before the frame")
             n = body[0]
             idents = {c.ident: k for k, c in enumerate(image.components)}
             places = tuple(idents[body[1 + 2 * k]] for k in range(n))
@@ -111,9 +121,15 @@ def parse(raw: bytes) -> Image:
             at = stop
 
 
-def _lay_out(image: Image) -> None:
+def _lay_out(image: Image, most_blocks: int) -> None:
+    if not image.components or not image.width or not image.height or any(not (1 <= c.h <= 4 and 1 <= c.v <= 4) for c in image.components):
+        raise ValueError("the frame has no size, no component or no sampling")
     most_h, most_v = max(c.h for c in image.components), max(c.v for c in image.components)
+    if any(most_h % c.h or most_v % c.v for c in image.components):
+        raise ValueError("sampling factors that do not divide the largest are not read")
     across, down = -(-image.width // (8 * most_h)), -(-image.height // (8 * most_v))
+    if across * down * sum(c.h * c.v for c in image.components) > most_blocks:  # each block takes a bit of the first DC scan
+        raise ValueError("the frame has more blocks than the file has bits")
     for c in image.components:
         c.wide = -(-(-(-image.width * c.h // most_h)) // 8)
         c.high = -(-(-(-image.height * c.v // most_v)) // 8)
@@ -356,31 +372,49 @@ def read_coefficients(files: Sequence[bytes]) -> list[Image]:
 # --- samples --------------------------------------------------------------------------------
 
 
+#: Blocks and samples that are transformed at once, so that only coefficients and results are held for the whole image.
+_AT_ONCE = 4096
+
+
 def planes(image: Image) -> list[np.ndarray]:
     """Samples of each component, at its own resolution, up to whole MCUs."""
     found = []
     for c in image.components:
-        flat = np.zeros((len(c.blocks), 64))
-        flat[:, ZIGZAG] = c.blocks.astype(np.int32) * image.quant[c.table]
-        part = _BASIS.T @ flat.reshape(-1, 8, 8) @ _BASIS
-        samples = np.clip(np.floor(part / (1 << 24) + 0.5).astype(np.int32) + 128, 0, 255)
+        samples = np.zeros((len(c.blocks), 8, 8), np.uint8)
+        for at in range(0, len(c.blocks), _AT_ONCE):
+            part = c.blocks[at : at + _AT_ONCE]
+            flat = np.zeros((len(part), 64))
+            flat[:, ZIGZAG] = part.astype(np.int32) * image.quant[c.table]
+            exact = _BASIS.T @ flat.reshape(-1, 8, 8) @ _BASIS
+            samples[at : at + _AT_ONCE] = np.clip(np.floor(exact / (1 << 24) + 0.5).astype(np.int64) + 128, 0, 255)
         found.append(samples.reshape(-1, c.stride, 8, 8).swapaxes(1, 2).reshape(-1, c.stride * 8))
     return found
 
 
 def to_rgb(image: Image) -> np.ndarray:
-    """The full-resolution tensor (height, width, 3); chroma samples are repeated."""
+    """The full-resolution tensor (height, width, 3) of one or three components; chroma samples are repeated."""
+    if len(image.components) not in (1, 3):
+        raise ValueError(f"{len(image.components)} components are not read")
     most_h, most_v = max(c.h for c in image.components), max(c.v for c in image.components)
-    full = []
-    for c, plane in zip(image.components, planes(image), strict=True):
-        full.append(plane.repeat(most_v // c.v, axis=0).repeat(most_h // c.h, axis=1)[: image.height, : image.width])
-    if len(full) == 1:
-        return np.repeat(full[0].astype(np.uint8)[:, :, None], 3, axis=2)
-    y, cb, cr = full[0] << 16, full[1] - 128, full[2] - 128
-    half = 1 << 15
-    # The JFIF conversion in 16-bit fixed point.
-    rgb = [(y + 91881 * cr + half) >> 16, (y - 22554 * cb - 46802 * cr + half) >> 16, (y + 116130 * cb + half) >> 16]
-    return np.clip(np.stack(rgb, axis=2), 0, 255).astype(np.uint8)
+    sampled = planes(image)
+    rgb = np.zeros((image.height, image.width, 3), np.uint8)
+    rows = most_v * max(1, 64 * _AT_ONCE // (most_v * image.width))
+    for top in range(0, image.height, rows):
+        full = []
+        for c, plane in zip(image.components, sampled, strict=True):
+            down, across = most_v // c.v, most_h // c.h
+            part = plane[top // down : (top + rows) // down].astype(np.int32).repeat(down, axis=0).repeat(across, axis=1)
+            full.append(part[: image.height - top, : image.width])
+        strip = rgb[top : top + rows]
+        if len(full) == 1:
+            strip[:] = full[0][:, :, None]
+            continue
+        y, cb, cr = full[0] << 16, full[1] - 128, full[2] - 128
+        half = 1 << 15
+        # The JFIF conversion in 16-bit fixed point.
+        colours = [(y + 91881 * cr + half) >> 16, (y - 22554 * cb - 46802 * cr + half) >> 16, (y + 116130 * cb + half) >> 16]
+        strip[:] = np.clip(np.stack(colours, axis=2), 0, 255)
+    return rgb
 
 
 # --- bytes as coefficients ------------------------------------------------------------------------

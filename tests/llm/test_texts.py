@@ -536,6 +536,76 @@ def test_media_columns(spark):
     assert media.decode_images(frame.limit(0)).count() == 0
 
 
+def plain_rgb(image):
+    """Colours by the book in floating point: cosine sums, repeated chroma, the JFIF equations."""
+    most_h, most_v = max(c.h for c in image.components), max(c.v for c in image.components)
+    u = np.arange(8)
+    basis = np.cos((2 * u[None] + 1) * u[:, None] * np.pi / 16) * np.where(u[:, None] == 0, np.sqrt(1 / 8), 0.5)
+    full = []
+    for c in image.components:
+        plane = np.zeros((8 * len(c.blocks) // c.stride, 8 * c.stride))
+        for k, block in enumerate(c.blocks):
+            square = np.zeros(64)
+            for n, v in enumerate(block):
+                square[jpeg.ZIGZAG[n]] = int(v) * int(image.quant[c.table][n])
+            row, column = divmod(k, c.stride)
+            plane[8 * row : 8 * row + 8, 8 * column : 8 * column + 8] = np.clip(basis.T @ square.reshape(8, 8) @ basis + 128, 0, 255)
+        y, x = np.mgrid[: image.height, : image.width]
+        full.append(plane[y * c.v // most_v, x * c.h // most_h])
+    y, cb, cr = full[0], full[1] - 128, full[2] - 128
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+
+
+def test_colours_and_features(spark):
+    draw = random.Random(6)
+    texts = ["plain words " * 40, "".join(chr(draw.randrange(32, 1000)) for _ in range(900)), "x"]
+    stored = media.store_texts(documents(spark, texts))
+    decoded = {r["doc_id"]: r for r in media.decode_images(stored).collect()}
+    for r in media.stored_features(stored).collect():
+        (image,) = jpeg.read_coefficients([bytes(decoded[r["doc_id"]]["media"])])
+        d = decoded[r["doc_id"]]
+        rgb = np.frombuffer(d["rgb"], np.uint8).reshape(d["height"], d["width"], 3)
+        assert (d["height"], d["width"], d["error"]) == (image.height, image.width, None)
+        assert abs(rgb - plain_rgb(image)).max() <= 2  # samples are rounded before they are mixed
+        sums = [sum(p[k] for row in rgb.tolist() for p in row) for k in range(3)]
+        assert r["feature"] == f"{image.width}x{image.height} {sums[0]} {sums[1]} {sums[2]} {zlib.crc32(rgb.tobytes()):08x}"
+
+
+def test_strips_give_the_same_image(monkeypatch):
+    (image,) = jpeg.read_coefficients(jpeg.write_payloads([payload(bytes(range(256)) * 40)], [b""]))
+    whole = jpeg.to_rgb(image)
+    monkeypatch.setattr(jpeg, "_AT_ONCE", 1)
+    assert (jpeg.to_rgb(image) == whole).all() and whole.std() > 10
+
+
+def test_damaged_images_are_reported(spark):
+    """Whatever is cut off, changed or claimed, the job ends and says what is wrong."""
+    (good,) = jpeg.write_payloads([payload(b"hello" * 30)], [b"150"])
+    frame = good.index(b"\xff\xc2")
+    quant, tables = good.index(b"\xff\xdb"), good.index(b"\xff\xc4")
+
+    def frame_with(at, value):
+        return good[: frame + at] + value + good[frame + at + len(value) :]
+
+    bad = {
+        "no frame": b"\xff\xd8\xff\xd9", "no quantisation": good[:quant] + good[tables:], "huge": frame_with(5, b"\xff\xdc\xff\xdc"), "no size": frame_with(5, b"\0\0\0\0"),
+        "odd sampling": frame_with(11, b"\x32\x00\x02\x21"), "no sampling": frame_with(11, b"\x00"), "no scans": good[: good.index(b"\xff\xda")] + b"\xff\xd9", "baseline": frame_with(1, b"\xc0"),
+        "four components": good[:frame] + b"\xff\xc2\x00\x14\x08\x00\x10\x00\x10\x04" + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00\x04\x11\x00" + good[frame + 2 + 17 :],
+        "two frames": good[:frame] + good[frame : frame + 19] + good[frame:], "scan first": good[:frame] + good[good.index(b"\xff\xda") :],
+    }
+    draw = random.Random(8)
+    noise = [bytes(b if draw.random() > 0.01 else draw.randrange(256) for b in good) for _ in range(60)] + [good[:n] for n in range(0, len(good), 37)]
+    rows_ = [(k, v) for k, v in bad.items()] + [(f"noise {k}", v) for k, v in enumerate(noise)] + [("good", good)]
+    found = {r["name"]: r for r in media.decode_images(spark.createDataFrame([(k, bytearray(v)) for k, v in rows_], "name string, media binary")).collect()}
+    assert len(found) == len(rows_) and found["good"]["error"] is None and found["good"]["rgb"] is not None
+    for name in bad:
+        assert found[name]["error"] and found[name]["rgb"] is None, name
+    for r in found.values():
+        assert (r["rgb"] is None) == (r["error"] is not None or not r["media"])
+    small = media.decode_images(spark.createDataFrame([(bytearray(good),)], "media binary"), most_pixels=100).first()
+    assert "pixels" in small["error"]
+
+
 def test_stored_texts(spark):
     texts = [*ODD, "same", "same"]
     docs = documents(spark, texts)
