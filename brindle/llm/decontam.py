@@ -30,7 +30,9 @@ LEAST_WHOLE = 2
 #: How far a template's windows may drift apart, from one to the next, where a filling has another number of tokens.
 DRIFT = 3
 #: Tokens of the benchmark that are held in memory and broadcast at once; more go in further blocks.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+#: Windows that a step of the look-up unfolds at once, whatever many items share them.
+AT_ONCE = 1 << 18
 
 # Words that are units when they follow a number.
 UNITS = (
@@ -152,79 +154,172 @@ def _windows(tokens: Tokens, typed: bool, width: int, least_literal: int) -> tup
 
 
 class _Index(NamedTuple):
-    """Windows of a block of items: sorted distinct hashes, and the places of each in the items."""
+    """Windows of some forms: sorted distinct hashes, and the places of each in the forms."""
 
     keys: np.ndarray
     first: np.ndarray
-    item: np.ndarray
+    form: np.ndarray
     place: np.ndarray
 
 
-class Template(NamedTuple):
-    """One reading of the items of a block."""
+class _Windows(NamedTuple):
+    """The windows that a form has, form after form."""
 
+    begin: np.ndarray
+    hashed: np.ndarray
+    place: np.ndarray
+
+
+class Copies(NamedTuple):
+    """Distinct texts of items as plain tokens.
+
+    A document with enough of a form's windows misses ``spare`` of them at most, so it holds one of any that are one more:
+    only so many, those that the fewest forms have, are looked up (``anchors``).  What is found is counted in full.
+    """
+
+    items: list[list[int]]  # of each form
+    windows: _Windows  # distinct ones
+    anchors: _Index
+    short: dict[int, _Index]  # forms of fewer tokens than a window, whole, by their number of tokens
+
+
+class Templates(NamedTuple):
+    """Distinct templates of items in one reading: items that differ in their fillings alone are one form."""
+
+    items: list[list[int]]
     tokens: Tokens
-    begin: np.ndarray  # where an item's tokens begin, and the last ends
-    index: _Index
-    n: np.ndarray  # windows of templates an item
-    whole: _Index  # of items without such windows, the window with the most words
+    begin: np.ndarray  # where a form's tokens begin, and the last ends
+    windows: _Windows  # those with a slot and enough words, one a place
+    spare: np.ndarray  # how many of them a document may miss
+    anchors: _Index
+    whole: _Index  # of forms without such windows, the window with the most words
 
 
 class Block(NamedTuple):
     """What of the benchmark is looked up at once."""
 
     ids: list
-    plain: _Index
-    n_plain: np.ndarray  # distinct plain windows an item
-    short: dict[int, _Index]  # items of fewer tokens than a window, whole, by their number of tokens
-    templates: tuple[Template, Template]
+    copies: Copies
+    templates: tuple[Templates, Templates]
 
 
-def _index(tokens: Tokens, begin: np.ndarray, hashed: np.ndarray, at: np.ndarray) -> _Index:
-    at = at[np.argsort(hashed[at], kind="stable")]
-    keys, first = np.unique(hashed[at], return_index=True)
-    item = tokens.text[at]
-    return _Index(keys, np.append(first, len(at)), item, at - begin[item])
+def _index(hashed: np.ndarray, form: np.ndarray, place: np.ndarray) -> _Index:
+    order = np.argsort(hashed, kind="stable")
+    keys, first = np.unique(hashed[order], return_index=True)
+    return _Index(keys, np.append(first, len(order)), form[order], place[order])
 
 
-def _template(tokens: Tokens, n_items: int, width: int, least_literal: int) -> Template:
+def _forms(tokens: Tokens, n_items: int, key) -> tuple[list[list[int]], Tokens, np.ndarray]:
+    """Items with the same ``key`` (of where an item's tokens begin and end) as one form, and the forms' tokens."""
     begin = np.searchsorted(tokens.text, np.arange(n_items + 1))
+    members: dict[bytes, list[int]] = {}
+    for item in range(n_items):
+        if begin[item + 1] > begin[item]:
+            members.setdefault(key(int(begin[item]), int(begin[item + 1])), []).append(item)
+    items = list(members.values())
+    sizes = np.array([begin[i[0] + 1] - begin[i[0]] for i in items], np.int64)
+    at = np.concatenate([np.arange(begin[i[0]], begin[i[0] + 1]) for i in items]) if items else np.zeros(0, np.int64)
+    return items, Tokens(np.repeat(np.arange(len(items)), sizes), tokens.literal[at], tokens.typed[at], tokens.slot[at]), np.append(0, np.cumsum(sizes))
+
+
+def _anchors(windows: _Windows, n_needed: np.ndarray) -> _Index:
+    """Of each form as many windows as ``n_needed``, those that come least often among all forms."""
+    form = np.repeat(np.arange(len(windows.begin) - 1), np.diff(windows.begin))
+    _, which, times = np.unique(windows.hashed, return_inverse=True, return_counts=True)
+    order = np.lexsort([times[which], form])
+    rank = np.arange(len(order)) - windows.begin[form[order]]
+    at = order[rank < n_needed[form[order]]]
+    return _index(windows.hashed[at], form[at], windows.place[at])
+
+
+def _copies(tokens: Tokens, n_items: int, width: int, coverage: float) -> Copies:
+    items, tokens, begin = _forms(tokens, n_items, lambda a, b: tokens.literal[a:b].tobytes())
+    hashed, valid = _windows(tokens, False, width, 0)
+    form, hashed = np.unique(np.stack([tokens.text[: len(hashed)][valid].astype(np.uint64), hashed[valid]]), axis=1)
+    form = form.astype(np.int64)
+    windows = _Windows(np.searchsorted(form, np.arange(len(items) + 1)), hashed, np.zeros(len(form), np.int64))
+    n = np.diff(windows.begin)
+    short = {}
+    for size in range(1, width):
+        if len(own := np.flatnonzero(np.diff(begin) == size)):
+            short[size] = _index(vector.window_hash(tokens.literal, size)[begin[own]], own, np.zeros(len(own), np.int64))
+    return Copies(items, windows, _anchors(windows, n - np.ceil(coverage * n - 1e-9).astype(np.int64) + 1), short)
+
+
+def _templates(tokens: Tokens, n_items: int, width: int, coverage: float, least_literal: int) -> Templates:
+    def key(a: int, b: int) -> bytes:
+        slots = tokens.literal[a:b][tokens.slot[a:b]]
+        _, first, which = np.unique(slots, return_index=True, return_inverse=True)  # which fillings are the same
+        return tokens.typed[a:b].tobytes() + first[which].tobytes()
+
+    items, tokens, begin = _forms(tokens, n_items, key)
     hashed, valid = _windows(tokens, True, width, least_literal)
-    index = _index(tokens, begin, hashed, np.flatnonzero(valid))
-    n = np.bincount(index.item, minlength=n_items)
+    at = np.flatnonzero(valid)
+    windows = _Windows(np.searchsorted(tokens.text[at], np.arange(len(items) + 1)), hashed[at], at - begin[tokens.text[at]])
+    n_windows = np.maximum(np.diff(begin) - width + 1, 0)
+    spare = np.floor((1 - coverage) * n_windows + 1e-9).astype(np.int64)
     words = _counts(~tokens.slot)
     best = []
-    for item in np.flatnonzero(n == 0):
-        a, b = begin[item], begin[item + 1]
+    for form in np.flatnonzero(np.diff(windows.begin) == 0):
+        a, b = begin[form], begin[form + 1]
         if b - a >= width and LEAST_WHOLE <= words[b] - words[a] < b - a:
             best.append(a + int(np.argmax(words[a + width : b + 1] - words[a : b - width + 1])))
-    return Template(tokens, begin, index, n, _index(tokens, begin, hashed, np.array(best, np.int64)))
+    best = np.array(best, np.int64)
+    whole = _index(hashed[best], tokens.text[best], best - begin[tokens.text[best]])
+    return Templates(items, tokens, begin, windows, spare, _anchors(windows, spare + 1), whole)
 
 
-def build_block(ids: list, texts: list[str | None], width: int = WIDTH, least_literal: int = LEAST_LITERAL) -> Block:
+def build_block(ids: list, texts: list[str | None], width: int = WIDTH, coverage: float = COVERAGE, least_literal: int = LEAST_LITERAL) -> Block:
     """The index of some benchmark items.  An item of fewer tokens than a window is a window of its own length."""
     forms = tokenize(pa.array(texts, pa.string()))
-    tokens = forms.plain
-    begin = np.searchsorted(tokens.text, np.arange(len(ids) + 1))
-    hashed, valid = _windows(tokens, False, width, least_literal)
-    pairs = np.unique(np.stack([tokens.text[: len(hashed)][valid].astype(np.uint64), hashed[valid]]), axis=1)
-    n_plain = np.bincount(pairs[0].astype(np.int64), minlength=len(ids)) if pairs.size else np.zeros(len(ids), np.int64)
-    templates = tuple(_template(t, len(ids), width, least_literal) for t in forms.templates)
-    short = {}
-    for size in range(1, width):
-        if len(at := begin[:-1][np.diff(begin) == size]):
-            short[size] = _index(tokens, begin, vector.window_hash(tokens.literal, size), at)
-    return Block(ids, _index(tokens, begin, hashed, np.flatnonzero(valid)), n_plain, short, templates)
+    templates = tuple(_templates(t, len(ids), width, coverage, least_literal) for t in forms.templates)
+    return Block(ids, _copies(forms.plain, len(ids), width, coverage), templates)
+
+
+def _unfold(first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of stretches that begin at ``first``: which stretch, and the row; about ``AT_ONCE`` rows at once, or one stretch."""
+    upto = np.append(0, np.cumsum(sizes))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + AT_ONCE, side="right")) - 1)
+        which = np.repeat(np.arange(a, b), sizes[a:b])
+        yield which, first[which] + np.arange(len(which)) - (upto[which] - upto[a])
+        a = b
 
 
-def _hits(index: _Index, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of windows that are in the index, repeated for each place of it: position, item, place."""
+def _hits(index: _Index, hashed: np.ndarray, valid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of windows that are in the index, and the rows of their places there, some at once."""
     at = np.flatnonzero(valid)
     key = vector.find(index.keys, hashed[at])
     at, key = at[key >= 0], key[key >= 0]
-    times = index.first[key + 1] - index.first[key]
-    rows = np.repeat(index.first[key] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(int(times.sum()))
-    return np.repeat(at, times), index.item[rows], index.place[rows]
+    for which, rows in _unfold(index.first[key], np.diff(index.first)[key]):
+        yield at[which], rows
+
+
+def _candidates(index: _Index, text: np.ndarray, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a text and a form of which it holds a window of the index."""
+    seen = np.zeros(0, np.int64)
+    for at, rows in _hits(index, hashed, valid):
+        seen = np.union1d(seen, text[at].astype(np.int64) << 32 | index.form[rows])
+    return seen >> 32, seen & 0xFFFFFFFF
+
+
+def _held_windows(windows: _Windows, texts: np.ndarray, forms: np.ndarray, text: np.ndarray, hashed: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """How many of a form's windows are anywhere in a text, for each pair of a text and a form."""
+    n = np.zeros(len(texts), np.int64)
+    if not len(texts):
+        return n
+    asked = np.zeros(int(texts.max()) + 1, bool)
+    asked[texts] = True
+    at = np.flatnonzero(valid)
+    of = text[at]
+    at = at[(of < len(asked)) & asked[np.minimum(of, len(asked) - 1)]]
+    known = np.sort(vector.mix(hashed[at] + vector.mix(text[at].astype(np.uint64) + np.uint64(1))))
+    salts = vector.mix(texts.astype(np.uint64) + np.uint64(1))
+    for which, rows in _unfold(windows.begin[forms], np.diff(windows.begin)[forms]):
+        held = vector.find(known, vector.mix(windows.hashed[rows] + salts[which])) >= 0
+        n += np.bincount(which[held], minlength=len(texts))
+    return n
 
 
 def _consistent(own: Tokens, tokens: Tokens, here: np.ndarray, there: np.ndarray) -> bool:
@@ -242,13 +337,13 @@ def _consistent(own: Tokens, tokens: Tokens, here: np.ndarray, there: np.ndarray
     return len(np.unique(pairs[0])) == pairs.shape[1] == len(np.unique(pairs[1]))
 
 
-def _held(template: Template, tokens: Tokens, text: int, item: int, shifts: np.ndarray, width: int, least: float) -> float:
-    """The share of an item's windows that a text holds at some of these shifts, 0 if below ``least`` or not consistent.
+def _held(template: Templates, tokens: Tokens, text: int, form: int, shifts: np.ndarray, width: int, least: float) -> float:
+    """The share of a form's windows that a text holds at some of these shifts, 0 if below ``least`` or not consistent.
 
     Windows without a slot count as well: they must be there as they stand.  A window found at several
     shifts counts at the first.
     """
-    a, b = int(template.begin[item]), int(template.begin[item + 1])
+    a, b = int(template.begin[form]), int(template.begin[form + 1])
     n = b - a - width + 1
     shift_of = np.zeros(n, np.int64)
     covered = np.zeros(n, bool)
@@ -272,49 +367,68 @@ def _held(template: Template, tokens: Tokens, text: int, item: int, shifts: np.n
     return share if _consistent(template.tokens, tokens, a + here, here + np.repeat(shift_of[places], width)) else 0.0
 
 
-def _alignments(text: np.ndarray, item: np.ndarray, shift: np.ndarray, place: np.ndarray, drift: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
-    """Hits of one item in one text whose shifts lie close together: text, item, the shifts, and how many places were hit."""
-    order = np.lexsort([shift, item, text])
-    text, item, shift, place = text[order], item[order], shift[order], place[order]
-    new = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > drift)
-    cut = np.flatnonzero(np.append(True, new))
-    for a, b in zip(cut.tolist(), np.append(cut[1:], len(text)).tolist(), strict=True):
-        yield int(text[a]), int(item[a]), np.unique(shift[a:b]), len(np.unique(place[a:b]))
+def _alignments(shift: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Hits of one form in one text whose shifts lie close together: the shifts, and how many places were hit."""
+    order = np.argsort(shift, kind="stable")
+    shift, place = shift[order], place[order]
+    cut = np.flatnonzero(np.append(True, shift[1:] - shift[:-1] > DRIFT))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(shift)).tolist(), strict=True):
+        yield np.unique(shift[a:b]), len(np.unique(place[a:b]))
+
+
+def _found_templates(template: Templates, tokens: Tokens, width: int, coverage: float, least_literal: int) -> Iterator[tuple[int, int, float]]:
+    """(text, form, coverage) of the templates that some texts hold."""
+    hashed, valid = _windows(tokens, True, width, least_literal)
+    texts, forms = _candidates(template.anchors, tokens.text, hashed, valid)
+    n, spare = np.diff(template.windows.begin)[forms], template.spare[forms]
+    # No more windows than ``spare`` may be missing, whichever they are.
+    likely = n - _held_windows(template.windows, texts, forms, tokens.text, hashed, valid) <= spare
+    of = None
+    for text, form in zip(texts[likely].tolist(), forms[likely].tolist(), strict=True):
+        if text != of:
+            of, begin = text, int(np.searchsorted(tokens.text, text))
+            own = begin + np.flatnonzero(valid[begin : int(np.searchsorted(tokens.text, text + 1))])
+            own = own[np.argsort(hashed[own], kind="stable")]
+            sorted_ = hashed[own]
+        a, b = template.windows.begin[form], template.windows.begin[form + 1]
+        first, last = (np.searchsorted(sorted_, template.windows.hashed[a:b], side=side) for side in ("left", "right"))
+        for_ = np.repeat(np.arange(b - a), last - first)
+        place = template.windows.place[a:b][for_]
+        at = own[first[for_] + np.arange(len(for_)) - (np.cumsum(last - first) - (last - first))[for_]]
+        # Shifts are between a token's place among all tokens of the slice and in its form.
+        for shifts, n_hit in _alignments(at - place, place):
+            if b - a - n_hit <= template.spare[form]:
+                if share := _held(template, tokens, text, form, shifts, width, coverage):
+                    yield text, form, share
+                    break
+    if len(template.whole.keys):
+        inside = tokens.text[: len(hashed)] == tokens.text[width - 1 : width - 1 + len(hashed)]
+        done = set()
+        for at, rows in _hits(template.whole, hashed, inside):
+            for text, form, shift in zip(tokens.text[at].tolist(), template.whole.form[rows].tolist(), (at - template.whole.place[rows]).tolist(), strict=True):
+                if (text, form) not in done and _held(template, tokens, text, form, np.array([shift]), width, 1.0):
+                    done.add((text, form))
+                    yield text, form, 1.0
 
 
 def find_leaks(block: Block, column: pa.Array, width: int = WIDTH, coverage: float = COVERAGE, least_literal: int = LEAST_LITERAL) -> list[tuple[int, int, float, str]]:
     """(text, item, coverage, kind) of the items that the texts hold."""
     forms = tokenize(column)
-    tokens = forms.plain
+    tokens, copies = forms.plain, block.copies
     found: dict[tuple[int, int], tuple[float, str]] = {}
-    hashed, valid = _windows(tokens, False, width, least_literal)
-    at, item, _ = _hits(block.plain, hashed, valid)
-    if len(at):
-        seen = np.unique(np.stack([tokens.text[at].astype(np.uint64), item.astype(np.uint64), hashed[at]]), axis=1)
-        pairs, n = np.unique(seen[:2], axis=1, return_counts=True)
-        share = n / block.n_plain[pairs[1].astype(np.int64)]
-        for k in np.flatnonzero(share >= coverage):
-            found[int(pairs[0, k]), int(pairs[1, k])] = float(share[k]), "copy"
-    for size, index in block.short.items():
-        hashed, valid = _windows(tokens, False, size, 0)
-        at, item, _ = _hits(index, hashed, valid)
-        found |= {pair: (1.0, "copy") for pair in zip(tokens.text[at].tolist(), item.tolist(), strict=True)}
+    hashed, valid = _windows(tokens, False, width, 0)
+    texts, of = _candidates(copies.anchors, tokens.text, hashed, valid)
+    share = _held_windows(copies.windows, texts, of, tokens.text, hashed, valid) / np.diff(copies.windows.begin)[of]
+    for k in np.flatnonzero(share >= coverage).tolist():
+        found |= {(int(texts[k]), item): (float(share[k]), "copy") for item in copies.items[of[k]]}
+    for size, index in copies.short.items():
+        for at, rows in _hits(index, *_windows(tokens, False, size, 0)):
+            for text, form in zip(tokens.text[at].tolist(), index.form[rows].tolist(), strict=True):
+                found |= {(text, item): (1.0, "copy") for item in copies.items[form]}
     for template, tokens in zip(block.templates, forms.templates, strict=True):
-        hashed, valid = _windows(tokens, True, width, least_literal)
-        at, item, place = _hits(template.index, hashed, valid)
-        for text, one, shifts, n_hit in _alignments(tokens.text[at], item, at - place, place, DRIFT) if len(at) else ():
-            n = int(template.begin[one + 1] - template.begin[one]) - width + 1
-            # No more windows than that may be missing, whichever they are.
-            if (text, one) in found or template.n[one] - n_hit > (1 - coverage) * n + 1e-9:
-                continue
-            if share := _held(template, tokens, text, one, shifts, width, coverage):
-                found[text, one] = share, "template"
-        if len(template.whole.keys):
-            inside = tokens.text[: len(hashed)] == tokens.text[width - 1 : width - 1 + len(hashed)]
-            at, item, place = _hits(template.whole, hashed, inside)
-            for text, one, shift in zip(tokens.text[at].tolist(), item.tolist(), (at - place).tolist(), strict=True):
-                if (text, one) not in found and _held(template, tokens, text, one, np.array([shift]), width, 1.0):
-                    found[text, one] = 1.0, "template"
+        for text, form, held in _found_templates(template, tokens, width, coverage, least_literal):
+            for item in template.items[form]:
+                found.setdefault((text, item), (held, "template"))
     return [(t, i, c, kind) for (t, i), (c, kind) in sorted(found.items())]
 
 
@@ -349,18 +463,29 @@ def benchmark_leaks(
 
     The join is by hash against blocks of the benchmark of bounded size, each broadcast once it
     is known to be within ``block_tokens``; documents are never shuffled.  An item longer than the
-    bound is a block of its own.
+    bound is a block of its own.  Items that differ in their fillings alone are looked for once, so the memory of a task
+    does not grow with them.  With several blocks the pairs of each are written out before the next is broadcast.
     """
-    found = None
-    for shared in _blocks(docs.sparkSession, benchmark, width, least_literal, block_tokens):
+    spark, found = docs.sparkSession, None
+    parts, several = _parts(benchmark, block_tokens)
+    for part in parts:
+        shared = _shared(spark, part, width, coverage, least_literal)
         pairs = docs.select("doc_id", "text").mapInArrow(_scan(shared, width, coverage, least_literal), PAIRS)
+        if several:
+            pairs = materialize(pairs, "leaks")
+            shared.destroy()
         found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else docs.sparkSession.createDataFrame([], PAIRS)
+    return found if found is not None else spark.createDataFrame([], PAIRS)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, least_literal: int = LEAST_LITERAL, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, by the rules of ``benchmark_leaks``; all columns stay."""
-    for shared in _blocks(docs.sparkSession, benchmark, width, least_literal, block_tokens):
+    """``docs`` without the rows that hold a benchmark item, by the rules of ``benchmark_leaks``; all columns stay.
+
+    With several blocks of the benchmark what each leaves is written out.
+    """
+    parts, several = _parts(benchmark, block_tokens)
+    for part in parts:
+        shared = _shared(docs.sparkSession, part, width, coverage, least_literal)
 
         def clean(column: pa.Array, shared=shared) -> np.ndarray:
             kept = np.ones(len(column), bool)
@@ -368,11 +493,14 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
             return kept
 
         docs = vector.filter_texts(docs, "text", clean)
+        if several:
+            docs = materialize(docs, "clean")
+            shared.destroy()
     return docs
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, width: int, least_literal: int, block_tokens: int) -> Iterator[Broadcast]:
-    """The benchmark in blocks of bounded size, each as a broadcast index.
+def _parts(benchmark: DataFrame, block_tokens: int) -> tuple[Iterator[list], bool]:
+    """The benchmark's rows in parts of bounded size, and whether there may be several.
 
     Items are dealt by hash to as many blocks as their tokens ask for; a block that comes out above the bound is
     taken in parts.
@@ -380,20 +508,24 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, width: int, least_literal
     n = F.size(F.split(F.coalesce("text", F.lit("")), r"[\W_]+")).cast("bigint")
     items = materialize(benchmark.select("item_id", "text", n.alias("n")), "items")
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-2 * total // block_tokens))
-    for k in range(n_blocks):
-        of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        part: list = []
-        size = 0
-        for row in of_block.toLocalIterator():
-            if part and size + row.n > block_tokens:
-                yield _shared(spark, part, width, least_literal)
-                part, size = [], 0
-            part.append(row)
-            size += row.n
-        if part:
-            yield _shared(spark, part, width, least_literal)
-
-
-def _shared(spark: SparkSession, part: list, width: int, least_literal: int) -> Broadcast:
-    return spark.sparkContext.broadcast(build_block([r.item_id for r in part], [r.text for r in part], width, least_literal))
+    n_blocks = max(1, -(-2 * total // block_tokens)) if total > block_tokens else 1
+
+    def parts() -> Iterator[list]:
+        for k in range(n_blocks):
+            of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+            part: list = []
+            size = 0
+            for row in of_block.toLocalIterator():
+                if part and size + row.n > block_tokens:
+                    yield part
+                    part, size = [], 0
+                part.append(row)
+                size += row.n
+            if part:
+                yield part
+
+    return parts(), n_blocks > 1
+
+
+def _shared(spark: SparkSession, part: list, width: int, coverage: float, least_literal: int) -> Broadcast:
+    return spark.sparkContext.broadcast(build_block([r.item_id for r in part], [r.text for r in part], width, coverage, least_literal))

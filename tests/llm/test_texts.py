@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from brindle.llm import catalog, decontam, language, media, secrets, token_store, toxicity, vector
 from brindle.llm import progressive_jpeg as jpeg
 
+from . import plain
 from .helpers import ODD, clashing, documents, prose, rows, words
 
 
@@ -102,18 +103,54 @@ def test_exchanges_stay_consistent():
     assert decontam.find_leaks(block, pa.array(["Ben has 5 cats. Tom buys 6 more. How many cats does Ben have?", "What is 13 + 13 * 8 - 5?", "What is 2 + 3?"])) == []
 
 
-def test_coverage_against_brute_force(spark, sf):
+def test_leaks_against_all_pairs(spark, sf):
+    """Every pair of a document and an item, by plain loops: copies and templates, no more and no fewer."""
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    found = {(r["doc_id"], r["item_id"]) for r in catalog.QUERIES["op1_decontam"](spark, sf).collect()}
-    grams = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)})(re.findall(r"\w+", t.lower()))
-    held = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
-    want = {(d, r["item_id"]) for r in items.collect() for d, g in held.items() if grams(r["text"]) and len(g & grams(r["text"])) >= 0.8 * len(grams(r["text"]))}
-    assert want and found >= want
+    found = {(r["doc_id"], r["item_id"]): r["kind"] for r in catalog.QUERIES["op1_decontam"](spark, sf).collect()}
+    want = plain.leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    assert want and found == want
     assert decontam.benchmark_leaks(docs.limit(0), items).count() == 0 and decontam.benchmark_leaks(docs, items.limit(0)).count() == 0
     kept = decontam.drop_leaking(docs, items)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_invented_leaks_against_all_pairs(seed):
+    """Items of few forms, documents with copies, exchanged and broken fillings, and parts of items."""
+    draw = random.Random(seed)
+    forms = ["{a} has {n} cats and {b} gives {a} {m} kg of food. How many cats does {a} have now?", "What is {n} + {m} * 7 - {n}?", "How far from {c} is the train that left {c} at {n} in the cold morning?", "Name three primes", "In the old town of {c} the river rose and took the mill."]
+
+    def filled():
+        a, b = draw.sample(["Tom", "Ann", "Mary Ann", "Bob Lee Cook"], 2)
+        return {"a": a, "b": b, "c": draw.choice(["Paris", "New York", "Rome"]), "n": draw.randrange(1, 40), "m": draw.choice([5, 7.5, 1200])}
+
+    items = [(k, draw.choice(forms).format(**filled())) for k in range(30)]
+    docs = [*ODD]
+    for _ in range(60):
+        text = draw.choice(forms).format(**filled())
+        if draw.random() < 0.3:
+            parts = text.split()
+            parts[draw.randrange(len(parts))] = "other"
+            text = " ".join(parts)
+        docs.append(" ".join([prose(draw.randrange(99), draw.randrange(8)), text, draw.choice(forms).format(**filled()) if draw.random() < 0.3 else ""]))
+    block = decontam.build_block([k for k, _ in items], [t for _, t in items])
+    found = {(t, block.ids[i]): kind for t, i, _, kind in decontam.find_leaks(block, pa.array(docs))}
+    assert found and {*found.values()} == {"copy", "template"} and found == plain.leaks(list(enumerate(docs)), items)
+
+
+def test_items_of_one_form_are_looked_for_once(monkeypatch):
+    """What a text unfolds does not grow with the items that share its template, and steps are bounded."""
+    form = "If Tom has {} apples and buys {} more in the small shop by the river, how many apples are there now?"
+    items = [form.format(10 + k, 5000 + k) for k in range(3000)]
+    block = decontam.build_block(list(range(len(items))), items)
+    assert [len(t.items) for t in block.templates] == [1, 1] and len(block.copies.anchors.place) < 0.3 * len(block.copies.windows.hashed)
+    texts = pa.array([" ".join(form.format(k, 7) for k in range(300)), "x " + form.format(1, 1), form.replace("buys", "finds").format(2, 9)])
+    found = decontam.find_leaks(block, texts)
+    assert {(t, kind) for t, _, _, kind in found} == {(0, "template")} and len(found) == len(items)
+    monkeypatch.setattr(decontam, "AT_ONCE", 7)
+    assert decontam.find_leaks(block, texts) == found
+
+
 # --- tokens -------------------------------------------------------------------------------------------------
 
 
