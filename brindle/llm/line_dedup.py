@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.text import SPACE_CHARS, lower_ascii
+from brindle.llm.text import SPACE_CHARS, all_columns, lower_ascii, own_names
 from brindle.sources.shared import materialize
 
 #: Lines whose normal form is shorter (in code points) are never dropped.
@@ -40,45 +40,48 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     one.  Texts are shuffled once, by document.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    own_row, own_lines, own_cuts, own_drops = own_names(docs, "_row", "_lines", "_cuts", "_drops")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # Rows are told apart by their text too, since nothing makes doc_id unique.
     row = F.xxhash64("text")
     keyed = (
         docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
-        .select("doc_id", row.alias("_row"), F.posexplode(lines).alias("_pos", "_line"))
-        .where(F.length("_line") >= min_chars)
-        .withColumn("_key", line_key(F.col("_line")))
-        .where(F.length("_key") >= min_chars)
-        .select("doc_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        .select("doc_id", row.alias("row"), F.posexplode(lines).alias("pos", "line"))
+        .where(F.length("line") >= min_chars)
+        .withColumn("key", line_key(F.col("line")))
+        .where(F.length("key") >= min_chars)
+        .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
+    # Written out: lines are hashed once, and adaptive execution splits a hot key of a join only between two plain shuffles.
+    keyed = materialize(keyed, "keys")
     if min_docs == 2:  # two documents differ if the smallest and the largest do: no set of ids is kept
-        counted = keyed.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        repeated = counted.where(F.col("_first") < F.col("_last"))
+        counted = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        repeated = counted.where(F.col("first") < F.col("last"))
     else:
-        once = keyed.groupBy("_h1", "_h2", "doc_id").agg(F.lit(1).alias("_one"))
-        counted = once.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_docs"))
-        repeated = counted.where(F.col("_docs") >= min_docs)
-    # Written out: adaptive execution splits a hot key of a join only between two plain shuffles.
-    repeated = materialize(repeated.select("_h1", "_h2", "_first"), "lines")
+        once = keyed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        counted = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"))
+        repeated = counted.where(F.col("docs") >= min_docs)
+    repeated = materialize(repeated.select("h1", "h2", "first"), "lines")
     drops = (
-        keyed.join(repeated, ["_h1", "_h2"])
-        .where(F.col("doc_id") != F.col("_first"))
-        .groupBy("doc_id", "_row")
-        .agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))  # at most the lines of one document
+        keyed.join(repeated, ["h1", "h2"])
+        .where(F.col("doc_id") != F.col("first"))
+        .groupBy("doc_id", F.col("row").alias(own_row))
+        .agg(F.sort_array(F.collect_set("pos")).alias(own_drops))  # at most the lines of one document
     )
-    whole = docs.withColumn("_row", row).join(drops.hint("shuffle_hash"), ["doc_id", "_row"], "left")
+    whole = docs.withColumn(own_row, row).join(drops.hint("shuffle_hash"), ["doc_id", own_row], "left")
     # Stretches between dropped positions: linear in the lines, however many are dropped.
-    cuts = F.concat(F.array(F.lit(-1)), F.col("_drops"), F.array(F.size("_lines")))
+    cuts = F.concat(F.array(F.lit(-1)), F.col(own_drops), F.array(F.size(own_lines)))
     stretches = F.transform(
-        F.sequence(F.lit(1), F.size("_drops") + 1),
-        lambda i: F.slice("_lines", F.element_at("_cuts", i) + 2, F.element_at("_cuts", i + 1) - F.element_at("_cuts", i) - 1),
+        F.sequence(F.lit(1), F.size(own_drops) + 1),
+        lambda i: F.slice(own_lines, F.element_at(own_cuts, i) + 2, F.element_at(own_cuts, i + 1) - F.element_at(own_cuts, i) - 1),
     )
     return (
-        whole.withColumn("_lines", lines)
-        .withColumn("_cuts", cuts)
-        .withColumn("kept_text", F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(stretches), "\n")))
-        .withColumn("n_lines", F.size("_lines").cast("bigint"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint"))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("bigint")))
-        .select(*docs.columns, "kept_text", "n_lines", "n_dropped")
+        whole.withColumn(own_lines, lines)
+        .withColumn(own_cuts, cuts)
+        .select(
+            *all_columns(docs),
+            F.when(F.col(own_drops).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(stretches), "\n")).alias("kept_text"),
+            F.size(own_lines).cast("bigint").alias("n_lines"),
+            F.coalesce(F.when(F.col(own_drops).isNotNull(), F.size(own_drops)), F.lit(0)).cast("bigint").alias("n_dropped"),
+        )
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that separates words and is stripped from lines.
@@ -24,3 +24,19 @@ def lower_ascii(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of maximal runs without white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
+
+
+def own_names(frame: DataFrame, *names: str) -> list[str]:
+    """``names`` for columns of an operator's own, changed where the caller's frame has columns of that name."""
+    taken = {c.lower() for c in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def all_columns(frame: DataFrame) -> list[Column]:
+    """A frame's columns, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
