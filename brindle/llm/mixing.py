@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.text import word_count
+from brindle.llm.text import all_columns, own_names, word_count
 from brindle.operators.joins import join_small
 from brindle.operators.sequence import global_row_number
 from brindle.sources.shared import materialize
@@ -16,9 +16,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 7
-#: Hex digits of the seeded order that each level of the cut adds: 16 ** 3 bins a source.
-LEVEL_DIGITS = 3
-LEVELS = 2
+#: Hex digits of the seeded order that each level of the cut adds: 16 ** 2 bins a source.
+LEVEL_DIGITS = 2
+LEVELS = 3
 
 
 def water_fill(sources: DataFrame, total: float) -> DataFrame:
@@ -48,6 +48,25 @@ def seeded_order(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
+def _crossing(rows: DataFrame, bin_: Column, value: Column) -> DataFrame:
+    """Of each ``_key`` the bin in which the sum of ``value`` passes ``_left``: _key, _bin, what is left there, and its rows."""
+    bins = rows.groupBy("_key", "_left", bin_.alias("_bin")).agg(F.sum(value).alias("_sum"), F.count("*").alias("_rows"))
+    upto = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bin"))  # few bins a key
+    crossed = bins.withColumn("_upto", upto).where(F.col("_upto") > F.col("_left")).groupBy("_key")
+    crossed = crossed.agg(F.min(F.struct("_bin", (F.col("_left") - F.col("_upto") + F.col("_sum")).alias("_left"), "_rows")).alias("_at"))
+    return materialize(crossed.select("_key", "_at.*"), "cut")
+
+
+def _narrowed(rows: DataFrame, cut: DataFrame, order: Column, value: Column) -> DataFrame:
+    """The ``cut`` (_key, _left) after as many levels of digits of ``order`` as there are; ``_bin`` are the digits."""
+    cut = cut.select("_key", F.lit("").alias("_bin"), "_left")
+    for level in range(1, LEVELS + 1):
+        digits = level * LEVEL_DIGITS
+        inside = join_small(rows, cut.select("_key", "_bin", "_left"), "_key").where(F.substring(order, 1, digits - LEVEL_DIGITS) == F.col("_bin"))
+        cut = _crossing(inside, F.substring(order, 1, digits), value)
+    return cut.select("_key", "_bin", "_left")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -66,15 +85,16 @@ def mix_sources(
     and ``taken`` (words) is at most ``max_epochs`` times the size.
 
     Null and empty texts have size 0, and a source without words target 0.  A null doc_id is
-    ordered as an empty one.  Repeated rows are documents of their own.  An empty table gives an
-    empty table.
+    ordered as an empty one.  Repeated rows are documents of their own; of rows with the same doc_id and size,
+    in which the cut falls, so many are taken as fit.  An empty table gives an empty table.
 
     The cut in a source's order is found by histograms: sums over the first digits of the
-    order, then over more digits inside the bin where the target is reached, and last a window over
-    the few documents of that bin.  No task gets all documents of a hot source.
+    order, then over more digits inside the bin where the target is reached, and last over the few
+    (doc_id, size) of that bin.  Rows that are alike in both are counted, and the cut among them is found by the same
+    levels over a salt of each row.  So no task gets all documents of a hot source, nor all rows of a hot doc_id.
     """
     sized = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_order(F.col("doc_id"), seed).alias("_u")),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_order(F.col("doc_id"), seed).alias("_u"), F.monotonically_increasing_id().alias("_row")),
         "sizes",
     )
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -96,28 +116,24 @@ def mix_sources(
     keyed = sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     rows = join_small(keyed, targets, "_key")
 
-    cut = targets.where(F.col("_need") > 0).select("_key", F.lit("").alias("_cut"), F.col("_need").alias("_left"))
-    for level in range(1, LEVELS + 1):
-        digits = level * LEVEL_DIGITS
-        inside = join_small(keyed, cut, "_key").where(F.substring("_u", 1, digits - LEVEL_DIGITS) == F.col("_cut"))
-        bins = inside.groupBy("_key", "_left", F.substring("_u", 1, digits).alias("_bin")).agg(F.sum("size").alias("_sum"))
-        upto = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bin"))  # at most 16 ** LEVEL_DIGITS rows
-        crossed = (
-            bins.withColumn("_upto", upto)
-            .where(F.col("_upto") > F.col("_left"))
-            .groupBy("_key")
-            .agg(F.min(F.struct("_bin", (F.col("_left") - F.col("_upto") + F.col("_sum")).alias("_left"))).alias("_at"))
-        )
-        cut = materialize(crossed.select("_key", F.col("_at._bin").alias("_cut"), F.col("_at._left").alias("_left")), "cut")
-    rows = join_small(rows, cut, "_key", "left")
-    digits = LEVELS * LEVEL_DIGITS
-    place = F.when(F.col("_need") <= 0, 1).when(F.col("_cut").isNull() | (F.substring("_u", 1, digits) < F.col("_cut")), -1)
-    rows = rows.withColumn("_place", place.when(F.substring("_u", 1, digits) > F.col("_cut"), 1).otherwise(0))
-    edge = rows.where(F.col("_place") == 0)
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("_key").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("_take", before + F.col("size") / 2 <= F.col("_left"))
-    rows = rows.where(F.col("_place") != 0).withColumn("_take", F.col("_place") < 0).unionByName(edge)
-    extra = F.when(F.col("_take"), 1).otherwise(0).cast("bigint")
+    cut = _narrowed(keyed, targets.where(F.col("_need") > 0).select("_key", F.col("_need").alias("_left")), F.col("_u"), F.col("size"))
+    inside = join_small(keyed, cut, "_key").where(F.substring("_u", 1, LEVELS * LEVEL_DIGITS) == F.col("_bin"))
+    cut = _crossing(inside, F.struct("_u", "doc_id", "size"), F.col("size"))
+    fit = F.floor((F.col("_left") - F.col("_bin.size") / 2) / F.col("_bin.size")) + 1  # of alike rows in which the target is reached
+    cut = cut.select("_key", F.col("_bin._u").alias("_cut"), F.col("_bin.size").alias("_cut_size"), fit.alias("_fit"), "_rows")
+    cut = cut.withColumn("_salt", F.when(F.col("_fit") >= F.col("_rows"), "~").when(F.col("_fit") <= 0, ""))  # above and below all digits
+    salt = F.md5(F.col("_row").cast("string"))
+    several = materialize(cut.where(F.col("_salt").isNull()), "cut")
+    if several.limit(1).count():
+        alike = join_small(keyed, several.select("_key", "_cut", "_cut_size", (F.col("_fit") - 1).alias("_left")), "_key")
+        alike = alike.where((F.col("_u") == F.col("_cut")) & (F.col("size") == F.col("_cut_size"))).select("_key", "_row", "_left")
+        last = _narrowed(alike.select("_key", "_row"), several.select("_key", (F.col("_fit") - 1).alias("_left")), salt, F.lit(1))
+        last = _crossing(join_small(alike.select("_key", "_row"), last, "_key").where(F.substring(salt, 1, LEVELS * LEVEL_DIGITS) == F.col("_bin")), salt, F.lit(1))
+        cut = cut.join(last.select("_key", F.col("_bin").alias("_last")), "_key", "left").withColumn("_salt", F.coalesce("_salt", "_last"))
+    rows = join_small(rows, materialize(cut.select("_key", "_cut", "_cut_size", "_salt"), "cut"), "_key", "left")
+    alike = (F.col("size") == F.col("_cut_size")) & (salt <= F.col("_salt"))
+    before = (F.col("_u") < F.col("_cut")) | (F.col("_u") == F.col("_cut")) & ((F.col("size") < F.col("_cut_size")) | alike)
+    extra = F.when(F.col("_need") <= 0, 0).when(F.col("_cut").isNull() | before, 1).otherwise(0).cast("bigint")
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "whole", extra.alias("extra"), (F.col("size") * (F.col("whole") + extra)).alias("taken")
     )
@@ -129,7 +145,9 @@ def repeat_documents(docs: DataFrame, **parameters) -> DataFrame:
     Rows with the same doc_id are repeated alike, as often as the most taken of them; rows
     with a null doc_id are taken as one such group.
     """
-    times = mix_sources(docs, **parameters).groupBy("doc_id").agg(F.max(F.col("whole") + F.col("extra")).cast("int").alias("_times"))
-    times = times.where(F.col("_times") > 0).withColumnRenamed("doc_id", "_id")
-    taken = docs.join(times.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_copy")).drop("_copy")
+    own_id, own_times, own_copy = own_names(docs, "_id", "_times", "_copy")
+    times = mix_sources(docs, **parameters).groupBy(F.col("doc_id").alias(own_id)).agg(F.max(F.col("whole") + F.col("extra")).cast("int").alias(own_times))
+    # Written out: adaptive execution splits a hot key of a join only between two plain shuffles.
+    times = materialize(times.where(F.col(own_times) > 0), "times")
+    taken = docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own_id)))
+    return taken.select(*all_columns(docs), F.explode(F.sequence(F.lit(1), own_times)).alias(own_copy)).drop(own_copy)

@@ -50,10 +50,11 @@ def test_lines_of_odd_tables(spark):
     line = "a line of some length"
     pairs = [(1, line), (1, line), (2, line), (None, line), (None, line + "\n" + line), (3, f"x\n{line}"), (3, f"{line}\nx\n{line}")]
     docs = spark.createDataFrame(pairs, "doc_id bigint, text string")
-    clash = clashing(docs, "kept_text", "n_lines", "_key", "other")
-    found = line_dedup.drop_repeated_lines(clash)
+    own = ["_row", "_lines", "_cuts", "_drops", "_key", "key", "h1", "first", "pos", "line", "row", "a`b.c"]
+    found = line_dedup.drop_repeated_lines(clashing(docs, "kept_text", "n_lines", *own))
     assert rows(found, "doc_id", "n_lines", "n_dropped", "kept_text") == plain_lines(pairs)
-    assert set(found.columns) == {"doc_id", "text", "kept_text", "n_lines", "n_dropped", "_key", "other"}
+    assert found.columns == ["doc_id", "text", *own, "kept_text", "n_lines", "n_dropped"]
+    assert all(set(r[2:-3]) == {"kept?"} for r in found.collect())
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
@@ -241,11 +242,42 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.mix_sources(twice).count() == 8
 
 
+def test_hot_doc_ids_are_cut_by_count(spark):
+    """Rows alike in doc_id and size, on which the cut falls, are taken as many as fit, and no task reads them all."""
+    n = 30_000
+    ids = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 3 == 0, 7).cast("bigint").alias("doc_id"), F.lit("a b c d").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    found = mixing.mix_sources(ids).groupBy("source", "target", "source_size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.max("taken").alias("most")).collect()
+    targets = plain_targets({r["source"]: r["source_size"] for r in found})
+    for r in found:
+        assert r["n"] == n // 2 and abs(r["target"] - targets[r["source"]]) < 1e-6 and abs(r["taken"] - r["target"]) <= 2 and r["most"] <= 8
+
+
+def test_cut_among_ties_against_a_plain_walk(spark):
+    """Few doc_ids, many sizes: what each (source, doc_id, size) gives equals a walk through the seeded order."""
+    draw = random.Random(4)
+    pairs = [(draw.choice([None, 1, 2, 3]), "w " * draw.choice([0, 1, 2, 5, 9]), draw.choice(["s", "t", None])) for _ in range(400)]
+    docs = spark.createDataFrame(pairs, "doc_id bigint, text string, source string")
+    sizes, want = defaultdict(int), defaultdict(int)
+    for _, t, s in pairs:
+        sizes[s] += len(words(t))
+    targets = plain_targets(sizes)
+    for s in sizes:
+        whole = int(targets[s] // sizes[s])
+        need, before = targets[s] - whole * sizes[s], 0
+        order = [(hashlib.md5(f"{'' if d is None else d}:7".encode()).hexdigest(), len(words(t)), d) for d, t, x in pairs if x == s]
+        for _, size, d in sorted(order, key=lambda o: o[:2]):
+            want[s, d, size] += size * (whole + (need > 0 and before + size / 2 <= need))
+            before += size
+    found = mixing.mix_sources(docs).groupBy("source", "doc_id", "size").agg(F.sum("taken").alias("taken")).collect()
+    assert {(r["source"], r["doc_id"], r["size"]): r["taken"] for r in found} == want
+
+
 def test_repeated_documents(spark):
     docs = documents(spark, [f"t{k} " * (k + 1) for k in range(30)], lambda k: f"s{k % 2}")
     times = {r["doc_id"]: r["whole"] + r["extra"] for r in mixing.mix_sources(docs).collect()}
-    out = mixing.repeat_documents(docs)
-    assert out.columns == docs.columns
+    own = ["_id", "_times", "_copy", "_u", "_key", "_row", "_cut", "_need", "whole", "size", "_SALT", "a`b"]
+    out = mixing.repeat_documents(clashing(docs, *own))
+    assert out.columns == [*docs.columns, *own] and all(set(r[len(docs.columns) :]) == {"kept?"} for r in out.collect())
     counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts == {k: n for k, n in times.items() if n}
 
