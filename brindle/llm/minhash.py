@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
@@ -31,7 +31,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("shingles", pa.
 
 def permutations_for(percent: int, rows: int, miss: float = MISS) -> int:
     """Permutations (two values each) whose bands miss a pair of that similarity with probability ``miss`` at most."""
-    bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+    bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
     return math.ceil(bands * rows / 2)
 
 
@@ -224,6 +224,38 @@ def _small_blocks(members: DataFrame) -> DataFrame:
     return block.select("block", F.lit(1).alias("part"), F.lit(True).alias("inner"), F.col("doc_id").alias("component"), "doc_id")
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle of each set."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            found = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.int64)
+            same = [pa.repeat(batch.column(n)[k], len(found)) for n in ("doc_id", "component", "size")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["doc_id", "component", "size", "shingle"])
+
+
+def _alike(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Groups (band, doc_id, component) in which any two linked documents of ``members`` (doc_id, component) meet.
+
+    Of a set's shingles, the rarest among the members first, so many are taken that a set without any of them has too few
+    in common; two documents meet at a common one of those, if their sizes let them be linked.  Documents that
+    share a frame but not their own words have only shingles of their own there, and meet no other.
+    """
+    rows = sets.join(members.select("doc_id", "component").distinct(), "doc_id").select("doc_id", "component", "size", "shingles")
+    rows = materialize(rows.mapInArrow(_unpacked, "doc_id bigint, component bigint, size bigint, shingle bigint"), "shingles")
+    shared = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    own = Window.partitionBy("doc_id")  # one document's shingles
+    rank = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)  # those of no other come first
+    first = rows.join(shared, "shingle").withColumn("rank", rank)
+    first = first.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    # Sizes of a linked pair are in the same class or in neighbours.
+    size_class = F.floor(F.log("size") / max(1e-9, math.log(100 / percent) * 1.0001))
+    keys = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.xxhash64("shingle", size_class + k))
+    found = materialize(first.select("doc_id", "component", F.explode(keys).alias("band")), "met")
+    groups = found.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    groups = materialize(groups.where(F.col("least") < F.col("most")).select("band", "n"), "groups")
+    return materialize(found.join(groups, "band"), "met")
+
+
 def _large_blocks(members: DataFrame, chunk: int) -> DataFrame:
     """Blocks of large buckets (band, doc_id, component): chunks of documents, each two of them once.
 
@@ -286,8 +318,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Documents with the same set form a class and go on as its smallest doc_id; copies never become
     pairs.  Classes that agree in a band of the min-max signature share a bucket.  Buckets of at most ``chunk``
     classes are compared by one task each.  In larger ones each class is compared with the first, which makes
-    one component of most of them; what then is of different components is compared chunk by chunk.  A
-    row that is shuffled is a class in a chunk, not a pair, and links are confirmed on full sets throughout.
+    one component of most of them.  What then is of different components meets again at its rarest shingles only, in
+    groups that are compared like small buckets, or chunk by chunk where they are large.  A
+    row that is shuffled is a class in a group or chunk, not a pair, and links are confirmed on full sets throughout.
     """
     sketches = docs.select("doc_id", "text").mapInArrow(
         _sketches(width, permutations_for(percent, rows), rows), "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>"
@@ -310,7 +343,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if large.limit(1).count():
         near = near.unionByName(_confirmed(sets, large.select("left", "right"), percent))
         open_ = _mixed(_with_components(large.select("band", F.col("left").alias("doc_id")), connected_components(near)))
-        near = near.unionByName(_linked_in_blocks(sets, _large_blocks(open_, chunk), percent))
+        met = _alike(sets, open_, percent)
+        near = near.unionByName(_linked_in_blocks(sets, _small_blocks(met.where(F.col("n") <= chunk)), percent))
+        if met.where(F.col("n") > chunk).limit(1).count():
+            near = near.unionByName(_linked_in_blocks(sets, _large_blocks(met.where(F.col("n") > chunk), chunk), percent))
     components = connected_components(near)
     result = sketches.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -66,6 +66,33 @@ def test_large_buckets_lose_no_link(spark, chunk):
     check(spark, [*family(7, 45, 14, 150), *family(8, 30, 25, 150), *(prose(k, 60) for k in range(20))], chunk=chunk, rows=2 if chunk == 2 else 5)
 
 
+def test_unlinked_documents_of_one_frame_do_not_meet(spark, monkeypatch):
+    """Thousands of pages that share most words, though too few, and a bucket: no block has two of them, and none is lost."""
+    frame, n = " ".join(f"c{k}" for k in range(120)), 3000
+    texts = [f"{frame} " + " ".join(f"u{k}x{j}" for j in range(40)) for k in range(n)]
+    texts += [edited(texts[k], 2, k) for k in range(0, 40, 4)]
+    met = []
+    alike = minhash._alike
+
+    def counted(sets, members, percent):
+        met.append((members.count(), alike(sets, members, percent).count()))
+        return alike(sets, members, percent)
+
+    monkeypatch.setattr(minhash, "_alike", counted)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert found == {k: k if k < n else 4 * (k - n) for k in range(n + 10)}
+    (members, rows) = met[0]
+    assert members > n and rows < 0.05 * members
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_size_classes_and_prefixes_keep_links(spark, percent):
+    """Nested texts, whose sizes are as far apart as a link allows, in large buckets."""
+    base = prose(11, 400, 10**6).split()
+    texts = [" ".join(base[: 404 - k]) for k in range(0, 90, 3)] + [" ".join(base[: 404 - k]) + " tail" for k in range(0, 90, 7)]
+    check(spark, [*texts, *(prose(k, 60) for k in range(5))], percent=percent, chunk=2, rows=2)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (1, "x y z u v w q"), (2, "X Y Z U V W Q"), (3, "a b c d e f g"), (3, "a b c d e f g")], "doc_id bigint, text string")
     found = minhash.near_duplicates(clashing(docs, "kept", "band", "component", "size")).collect()
