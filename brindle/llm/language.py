@@ -7,17 +7,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
+from brindle.operators.joins import join_small
 from brindle.sources.shared import materialize
 
 #: Labelled documents of each language that the model is fitted on, about; they are chosen by a hash of doc_id.
 SAMPLE_DOCS = 2000
-#: Words, and n-grams of each length, that the model keeps: the most frequent.
-WORDS = 60_000
-GRAMS = 30_000
+#: Words, and n-grams of each length, that the model keeps: each language has an equal part, its own most frequent.
+WORDS = 200_000
+GRAMS = 100_000
+#: More labels than these are an error: the model has a number for each word or n-gram and language.
+MOST_LANGUAGES = 100
 LONGEST = 5
 ALPHA = 0.5
 UNKNOWN = "und"
@@ -87,40 +90,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def _sample(labelled: DataFrame, label: str, size: int) -> DataFrame:
-    """About ``size`` rows of each label, by a hash of doc_id; all of a label that has fewer."""
-    counts = labelled.groupBy(label).agg(F.count("*").alias("_n"))
-    share = labelled.join(F.broadcast(counts), label)  # a row a label
-    spot = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    return share.where(spot < F.lit(float(size)) / F.col("_n")).drop("_n")
+def _spot(key: str, seed: int) -> Column:
+    """A number from 0 to 1 that looks random, the same in every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / (1 << 30)
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
+def _sample(labelled: DataFrame, counts: DataFrame, label: str, size: int) -> DataFrame:
+    """About ``size`` rows of each label, by a hash of doc_id; all of a label that has fewer.  ``counts`` has a row a label."""
+    share = join_small(labelled, counts, label)
+    return share.where(_spot("doc_id", 5) < F.lit(float(size)) / F.col("_n")).drop("_n")
+
+
+def _most_frequent(counts: DataFrame, words: int, grams: int) -> DataFrame:
+    """The (length, key) of ``counts`` (length, key, lang, n) that some language has among its own most frequent.
+
+    Found by how many keys come how often; of keys as frequent as the last that fit, a share is taken by hash.
+    """
+    sizes = counts.groupBy("length", "lang", "n").agg(F.count("*").alias("_keys"))
+    upto = F.sum("_keys").over(Window.partitionBy("length", "lang").orderBy(F.desc("n")))  # a row a number of occurrences
+    room = F.when(F.col("length") == 0, words).otherwise(grams) - (upto - F.col("_keys"))
+    cut = materialize(sizes.withColumn("_share", room / F.col("_keys")).where("_share > 0").select("length", "lang", "n", "_share"), "cut")
+    return join_small(counts, cut, ["length", "lang", "n"]).where(_spot("key", 6) < F.col("_share")).select("length", "key").distinct()
+
+
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, grams: int = GRAMS, most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from ``labelled`` (doc_id, text, lang).
 
     Rows without a language or text are left out.  Counts are made and summed by Spark, over a sample of
-    about ``sample_docs`` documents a language, and the most frequent words and n-grams
-    become the model: its size is bounded by ``words``, ``grams`` and the number of languages.
+    about ``sample_docs`` documents a language.  Each language's most frequent words and n-grams, as many as its part of
+    ``words`` and ``grams`` (of each length), become the model, with their counts in all languages; so a language with
+    few documents keeps its own.  More than ``most_languages`` labels are a ValueError: they need cleaning first, and
+    the size of the model, which is broadcast, is bounded by these parameters alone.
     """
-    rows = _sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", sample_docs)
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labels = materialize(labelled.groupBy("lang").agg(F.count("*").alias("_n")), "labels")
+    n_languages = labels.limit(most_languages + 1).count()
+    if n_languages > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages")
+    rows = _sample(labelled, labels, "lang", sample_docs)
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, key bigint, n bigint")
-    counts = counts.groupBy("length", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = materialize(counts.groupBy("length", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of")), "counts")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    place = {lang: k for k, lang in enumerate(languages)}
-    sums = {(r.length, r.lang): r.n for r in by_key.select("length", F.explode("of").alias("lang", "n")).groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
+    counts = materialize(counts.groupBy("length", "key", "lang").agg(F.sum("n").alias("n")), "counts")
+    sums = {(r.length, r.lang): r.n for r in counts.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted({lang for _, lang in sums})
+    part = max(1, n_languages)
+    chosen = materialize(_most_frequent(counts, -(-words // part), -(-grams // part)), "chosen")
+    entries = counts.join(chosen, ["length", "key"]).select("length", "key", "lang", "n").toArrow()
+    lengths, hashes, n = (entries.column(c).to_numpy() for c in ("length", "key", "n"))
+    lang = np.searchsorted(np.array(languages, object), entries.column("lang").to_numpy(zero_copy_only=False)) if languages else np.zeros(0, np.int64)
     keys, logs = [], []
     for length in range(LONGEST + 1):
-        top = by_key.where(F.col("length") == length).orderBy(F.desc("total"), "key").limit(grams if length else words).select("key", "of").collect()
-        table = np.zeros((len(top), len(languages)))
-        for k, row in enumerate(top):
-            for lang, n in row.of.items():
-                table[k, place[lang]] = n
-        hashes = np.array([r.key for r in top], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        total = np.array([sums.get((length, lang), 0) for lang in languages], float)
-        keys.append(hashes[order])
-        logs.append(np.log((table[order] + ALPHA) / (total + ALPHA * (len(top) + 1))).astype(np.float32))
+        at = np.flatnonzero(lengths == length)
+        own, which = np.unique(hashes[at].view(np.uint64), return_inverse=True)
+        table = np.zeros((len(own), len(languages)))
+        table[which, lang[at]] = n[at]
+        total = np.array([sums.get((length, k), 0) for k in languages], float)
+        keys.append(own)
+        logs.append(np.log((table + ALPHA) / (total + ALPHA * (len(own) + 1))).astype(np.float32))
     return Model(languages, keys, logs)
 
 
