@@ -23,6 +23,8 @@ from brindle.sources.shared import materialize
 #: Labelled documents that the model is fitted on, about, toxic ones and others; they are chosen by a hash of doc_id.
 SAMPLE_TOXIC = 2000
 SAMPLE_CLEAN = 8000
+#: Bytes of text that the sample has, about; single texts above a 64th of it are not learnt from.
+SAMPLE_BYTES = 1 << 28
 #: Features that the model may use: those whose share of documents differs most between the classes.
 FEATURES = 2000
 LEAST_DOCS = 3
@@ -139,13 +141,14 @@ def _train(toxic: np.ndarray, sentence: np.ndarray, key: np.ndarray, text: np.nd
     return value[:-1], float(value[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) names.
 
     Rows without a label or text are left out.  The sample has about ``sample_toxic`` and
     ``sample_clean`` labels; it is drawn from the labels alone, so only few rows are joined with the texts.
     Features are counted by Spark, and those whose shares of the two classes differ most are kept,
-    up to ``features``.  What is collected are those features' places in the sample's sentences.
+    up to ``features``.  What is collected are those features' places in the sample's sentences, which
+    ``sample_bytes`` bounds.
     With fewer than two classes no feature is used, and every score is near that class.
     """
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
@@ -154,6 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     share = F.when(F.col("toxic") != 0, sample_toxic / counts.get(True, 1)).otherwise(sample_clean / counts.get(False, 1))
     drawn = materialize(labels.where(spot < share), "labels")
     sample = materialize(join_small(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), drawn, "doc_id"), "sample")
+    n_bytes = F.octet_length("text").cast("bigint")
+    sample = sample.where(n_bytes <= sample_bytes // 64)
+    total = sample.agg(F.sum(n_bytes)).first()[0] or 0
+    if total > sample_bytes:
+        spot = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+        sample = materialize(sample.where(spot < sample_bytes / total), "sample")
     drawn = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(drawn) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 5.0 if drawn.get(True) else -5.0)

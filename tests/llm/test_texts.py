@@ -371,6 +371,35 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_language_against_dictionaries(spark, sf):
+    """Every document's language by the query and by plain dictionaries of all words and n-grams."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    learnt = [(r["text"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None]
+    model = plain.Language(learnt)
+    found = {r["doc_id"]: r for r in catalog.QUERIES["op5_language"](spark, sf).collect()}
+    assert len(found) == len(docs)
+    for r in docs:
+        lang, share = model.predict(r["text"])
+        got = found[r["doc_id"]]
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert got["lang_pred"] == lang and abs(got["score"] - share) < 1e-2, r["doc_id"]
+
+
+def test_language_keeps_small_languages_and_bounds_the_model(spark):
+    """A language of few documents keeps its own words beside large ones; equal shares, ties by hash, too many labels are refused."""
+    pairs = [(k, " ".join(f"{'abc'[k % 3]}{'xyz'[j % 3]}word{k}q{j}".replace("0", "o").replace("1", "i") for j in range(50)), "xx") for k in range(60)]
+    pairs += [(1000, "kleines fremdes idiom kleines fremdes idiom", "yy")]
+    docs = spark.createDataFrame(pairs, "doc_id bigint, text string, lang string")
+    model = language.fit(docs, words=20, grams=20)
+    assert len(model.keys[0]) <= 3 + 10 + 8 and all(len(k) <= 2 * 10 + 12 for k in model.keys[1:])
+    found = language.predict_language(spark.createDataFrame([(1, "fremdes kleines")], "doc_id bigint, text string"), model).first()
+    assert found["lang_pred"] == "yy"
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs, most_languages=1)
+    tie = language.fit(spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], docs.schema))
+    assert language.predict_language(documents(spark, ["same same"]), tie).first()["lang_pred"] == "a"
+
+
 def test_language_backs_off_to_n_grams(spark):
     draw = random.Random(1)
     make = lambda parts, n: " ".join("".join(draw.choice(parts) for _ in range(3)) for _ in range(n))
@@ -423,6 +452,63 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.score_toxicity(frame.limit(5), one).where("predicted = 1").count() == 0
 
 
+def test_toxicity_against_plain_scores(spark, sf):
+    """Every document's score by the query and by plain loops over sentences, with the weights that were learnt."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    learnt = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+    model = toxicity.fit(docs, learnt)
+    found = {r["doc_id"]: r for r in catalog.QUERIES["op10_toxicity"](spark, sf).collect()}
+    weight_of = {}
+
+    def known(kind, part):
+        key = vector.Hasher(np.frombuffer(part, np.uint8))(np.array([0]), np.array([len(part)]))[0] ^ np.uint64(kind)
+        at = int(np.searchsorted(model.keys, key))
+        if at < len(model.keys) and model.keys[at] == key:
+            weight_of[kind, part] = float(model.weights[at])
+
+    rows_ = docs.collect()
+    for w in {w.encode() for r in rows_ for w in re.findall(f"[{plain.LETTER}0-9]+", plain.lowered(r["text"] or ""))}:
+        known(0, w)
+        for n in (4, 5, 6, 7, 8):
+            if len(w) > n:
+                known(n, w[:n])
+    assert len(found) == len(rows_) and len(weight_of) > 100
+    for r in rows_:
+        got = found[r["doc_id"]]
+        assert abs(got["score"] - plain.toxic_score(r["text"], weight_of, model.bias)) < 1e-6, r["doc_id"]
+        assert got["predicted"] == int(got["score"] >= 0.3) and got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_training_finds_the_likeliest_weights():
+    """Noisy-or by hand: moving any learnt weight makes the labels less likely, but for the small pull to zero."""
+    draw = np.random.default_rng(3)
+    text = np.repeat(np.arange(300), 3)
+    sentence, key = np.arange(900), draw.integers(0, 6, 900)
+    toxic = np.array([(key[text == d] == 2).any() for d in range(300)]) ^ (draw.random(300) < 0.1)
+    weights, bias = toxicity._train(toxic, sentence, key, text, 6)
+
+    def likelihood(weights, bias):
+        p = 1 / (1 + np.exp(-(weights[key] + bias)))
+        some = 1 - np.prod((1 - p).reshape(300, 3), axis=1)
+        return np.log(np.where(toxic, some, 1 - some) + 1e-12).mean()
+
+    assert weights.argmax() == 2
+    at = np.append(weights, bias)
+    for k in (2, 6):
+        for step in (-1.0, 1.0):
+            moved = at.copy()
+            moved[k] += step
+            assert likelihood(moved[:-1], moved[-1]) < likelihood(weights, bias) + 1e-3
+
+
+def test_toxicity_sample_is_bounded(spark):
+    frame = spark.createDataFrame([(k, f"word{k % 7} and others. " * 50 + ("grunk" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)], "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(frame, frame, sample_bytes=1 << 17)  # about a third of the texts
+    found = toxicity.score_toxicity(frame, model).join(frame, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in found) >= 0.9 * len(found)
+
+
 # --- media -----------------------------------------------------------------------------------------------------------------
 
 
