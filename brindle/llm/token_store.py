@@ -8,8 +8,9 @@ few look-ups, without decoding what stands before it.
 
 A store is a folder of Parquet files written by Spark (so a lost executor leaves no
 half-written file): ``codes`` has a row a document with its codes, in ascending
-doc_id order over all files, and ``ranges`` has a row a file with the number of tokens before it.
-Code columns are stored plain; a reader finds a row by the files' statistics of doc_id.
+doc_id order over all shards, and ``ranges`` has a row a shard with its first and last doc_id and the number of tokens before it.
+Code columns are neither compressed nor dictionary-coded; a reader finds the shards by ``ranges`` and, in them, a row by the
+statistics of doc_id, so that what lies beside it is not decoded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
+from brindle.operators.joins import join_small
 from brindle.sources.shared import fresh_path
 
 CHUNK_BITS = 8
@@ -33,6 +35,11 @@ CACHE_ENTRIES = 900_000
 #: New chunks are given to the tokenizer so many at a time.
 ENCODE_AT_ONCE = 4096
 
+#: Text that a shard holds, about; a shard a shuffle partition at least.
+SHARD_BYTES = 1 << 27
+#: Documents whose tokens are looked up by their ids alone; more are looked up by the stretch from the first to the last.
+MOST_IDS = 1000
+
 CODES = "doc_id bigint, shard int, place bigint, n_tokens bigint, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 
 
@@ -100,19 +107,36 @@ _KINDS[[b for b in range(48, 58)]] = 0
 _KINDS[39] = 3
 
 
+# The parts of a tokenizer file under which texts may be cut as ``ChunkEncoder`` cuts them.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def may_be_cut(path: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and splits by letters, digits and signs, so that chunks have their own ids."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    before = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = before[0].get("type") == "Split" and before[0].get("pattern") == {"Regex": _WORDS} and before[0].get("behavior") == "Removed" and before[0].get("invert") is True
+    plain = all(p.get("type") == "ByteLevel" and not p.get("use_regex", True) and not p.get("add_prefix_space", True) for p in before[1:])
+    return (parts.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split and plain and not (parts.get("model") or {}).get("dropout")
+
+
 class ChunkEncoder:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokenizer splits by letters, digits and signs.
+    """Ids of texts by a ``tokenizers`` file, as the tokenizer gives them for whole texts.
 
-    Texts are cut at ASCII white space and between an ASCII letter and a sign after it (or before it,
-    but for an apostrophe, which may begin a contraction).  Each distinct chunk is encoded once.
-    That gives the ids of the whole text if the tokenizer drops white space, lower-cases, and has no
-    token across such cuts.  Texts that may hold the name of a special token go to the tokenizer whole.
+    If the tokenizer ``may_be_cut``, texts are cut at ASCII white space and between an ASCII letter and a sign after it (or
+    before it, but for an apostrophe, which may begin a contraction), and each distinct chunk is encoded once.
+    Other tokenizers get each text whole, and so do texts that may hold the name of a special token.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = may_be_cut(path)
         self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
@@ -148,6 +172,8 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null has none."""
+        if not self.cuts:
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in column.to_pylist()]
         split = self._split(column)
         new = {c for chunks in split if chunks for c in chunks} - self.known.keys()
         forgot = len(self.known) + len(new) > CACHE_ENTRIES
@@ -205,7 +231,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     order = ["doc_id", "_hash"]
     dealt = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
@@ -213,9 +240,10 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
         .sortWithinPartitions(*order)
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
     )
-    dealt.mapInArrow(_encode(tokenizer, end_id), CODES).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/codes")
-    totals = spark.read.parquet(f"{path}/codes").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    codes = dealt.mapInArrow(_encode(tokenizer, end_id), CODES).write.partitionBy("shard")
+    codes.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(f"{path}/codes")
+    totals = spark.read.schema(CODES).parquet(f"{path}/codes").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     totals.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/ranges")
     return path
 
@@ -224,7 +252,7 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     """The store's rows with ``start``, the number of tokens of all documents before."""
     ranges = spark.read.parquet(f"{path}/ranges").select("shard", F.col("start").alias("_start"))
     codes = spark.read.schema(CODES).parquet(f"{path}/codes")
-    return codes.join(F.broadcast(ranges), "shard").withColumn("start", F.col("_start") + F.col("place")).drop("_start", "shard", "place")  # a row a file
+    return join_small(codes, ranges, "shard").withColumn("start", F.col("_start") + F.col("place")).drop("_start", "shard", "place")
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +272,29 @@ def store_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(_summaries, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def rows_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``codes`` that may belong to ``wanted`` (doc_id), from the shards that may have them."""
+    ids = wanted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    few = [r[0] for r in ids.limit(MOST_IDS + 1).collect()]
+    ranges, codes = spark.read.parquet(f"{path}/ranges"), spark.read.schema(CODES).parquet(f"{path}/codes")
+    first, last = F.col("first_doc"), F.col("last_doc")
+    if len(few) <= MOST_IDS:
+        asked = F.array(*[F.lit(i).cast("bigint") for i in few]).cast("array<bigint>")
+        inside, chosen = F.exists(asked, lambda i: i.between(first, last)), F.col("doc_id").isin(few)
+    else:
+        low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+        inside, chosen = (last >= low) & (first <= high), F.col("doc_id").between(low, high)
+    shards = sorted(r[0] for r in ranges.where(inside).select("shard").collect())  # a number a shard
+    return codes.where(F.col("shard").isin(shards) & chosen)
+
+
 def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (doc_id, position) with ``token``: single tokens, reached without decoding.
 
-    Positions beyond a document's end and unknown documents give no row.
+    Positions beyond a document's end and unknown documents give no row.  Only shards that may hold a wanted document are
+    read, and in them only the pages whose statistics of doc_id fit.
     """
-    rows = open_store(spark, path).drop("start").join(wanted.select("doc_id", "position"), "doc_id")
+    rows = rows_of(spark, path, wanted).join(wanted.select("doc_id", "position"), "doc_id")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -189,6 +189,40 @@ def test_store_equals_the_tokenizer(spark, tokenizer):
     assert {(r[0], r[1]): r[2] for r in token_store.read_tokens(spark, path, asked).collect()} == {k: want[k] for k in list(want)[::7]}
 
 
+def test_tokenizers_that_may_not_be_cut(spark):
+    """A byte-level tokenizer keeps white space and case: its texts are encoded whole."""
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    assert token_store.may_be_cut(public.path("word_bpe_49k.json")) and not token_store.may_be_cut(path)
+    texts = [*ODD, "Upper and  two spaces", "a.b!c? 5a"]
+    found = token_store.ChunkEncoder(path).encode(pa.array(texts))
+    own = Tokenizer.from_file(path)
+    assert [i.tolist() for i in found] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_reads_of_single_tokens_are_pruned(spark, tokenizer, capsys, monkeypatch):
+    path = token_store.write_store(documents(spark, [prose(k, 30) for k in range(400)]), tokenizer)
+    shards = spark.read.parquet(f"{path}/ranges").count()
+    asked = spark.createDataFrame([(17, 3), (399, 0), (None, 0)], "doc_id bigint, position bigint")
+    for most in (1000, 1):
+        monkeypatch.setattr(token_store, "MOST_IDS", most)
+        rows_ = token_store.rows_of(spark, path, asked.where("doc_id = 17 or doc_id is null") if most == 1 else asked)
+        capsys.readouterr()
+        rows_.explain("formatted")
+        plan = capsys.readouterr().out
+        assert re.search(r"PartitionFilters: .*shard", plan) and re.search(r"PushedFilters: .*doc_id", plan)
+        assert rows_.select("shard").distinct().count() == (2 if most == 1000 else 1) < shards and rows_.count() == (2 if most == 1000 else 1)
+    monkeypatch.setattr(token_store, "MOST_IDS", 1)
+    assert token_store.rows_of(spark, path, asked).where("doc_id in (17, 399)").count() == 2
+    (file,) = [f for f in spark.read.parquet(f"{path}/codes/shard=0").inputFiles()][:1]
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0)
+    assert {meta.column(c).compression for c in range(meta.num_columns)} == {"UNCOMPRESSED"}
+
+
 def test_store_of_odd_tables(spark, tokenizer):
     docs = spark.createDataFrame([(None, "b"), (5, "x y"), (5, "z"), (5, "x y"), (-1, None)], "doc_id bigint, text string")
     found = token_store.store_summary(spark, token_store.write_store(docs, tokenizer)).orderBy("start").collect()
