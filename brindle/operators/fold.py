@@ -171,8 +171,15 @@ def flat_table(events: DataFrame, key: str, maps: Mapping[str, Sequence[ColumnMa
         cut = rows.where(F.col("type").isin(*deletes)).groupBy(key).agg(F.max("seq_id").alias("_cut"))
         rows = rows.join(cut, key, "left").where(F.col("_cut").isNull() | (F.col("seq_id") > F.col("_cut"))).drop("_cut")
     columns = list(dict.fromkeys(m.column for ms in maps.values() for m in ms))
-    first = F.min("seq_id").over(Window.partitionBy(key)) if keep_first_sign else F.lit(None)
-    rows = rows.withColumn("_first", first)
+    numeric = [c for c in columns if any(m.column == c and m.how in ("increment", "decrement") for ms in maps.values() for m in ms)]
+    # Where a key's row begins, and where each of its numbers was set last: one aggregate, joined back.
+    marks = [F.min("seq_id").alias("_first")]
+    for column in numeric:
+        setting = [kind for kind, ms in maps.items() if any(m.column == column and m.how in ("map", "set") for m in ms)]
+        marks.append(F.max(F.when(F.col("type").isin(*setting) if setting else F.lit(False), F.col("seq_id"))).alias(f"_since_{column}"))
+    rows = rows.join(rows.groupBy(key).agg(*marks), key)
+    if not keep_first_sign:
+        rows = rows.withColumn("_first", F.lit(None).cast("bigint"))
     for column in columns:
         base = change = F.lit(None)
         sets = F.lit(False)
@@ -192,9 +199,8 @@ def flat_table(events: DataFrame, key: str, maps: Mapping[str, Sequence[ColumnMa
                 else:
                     raise ValueError(f"no column map {m.how!r}")
         rows = rows.withColumns({f"_base_{column}": base, f"_set_{column}": F.when(sets, F.col("seq_id")), f"_change_{column}": change})
-    numeric = [c for c in columns if any(m.column == c and m.how in ("increment", "decrement") for ms in maps.values() for m in ms)]
     for column in numeric:
-        since = F.max(f"_set_{column}").over(Window.partitionBy(key))
+        since = F.col(f"_since_{column}")
         rows = rows.withColumn(f"_change_{column}", F.when(since.isNull() | (F.col("seq_id") > since), F.col(f"_change_{column}")))
     results = []
     for column in columns:

@@ -15,6 +15,7 @@ CUSTOMER = DocumentType("customer", "customer", "c_custkey")
 SEGMENT_CUSTOMER = DocumentType("customer", "customer", "c_custkey", tenant="c_mktsegment")
 ORDER = DocumentType("order", "orders", "o_orderkey", modified_at="o_orderdate", created_at="o_orderdate")
 DELETABLE_ORDER = DocumentType("order", "orders", "o_orderkey", deleted="o_orderstatus = 'F'", deleted_at="o_orderdate", created_at="o_orderdate")
+STATUS_ORDER = DocumentType("order", "orders", "o_orderkey", enums={"o_orderstatus": {"P": 0, "O": 1, "F": 2}})
 LINE = DocumentType("line", "lineitem", "l_orderkey")
 PART = DocumentType("part", "part", "p_partkey")
 EVENT = DocumentType("event", "events", "event_id")
@@ -62,11 +63,11 @@ _FILTERS = {
     "where_null": (EVENT, lambda: P.equals(F.nullif("event_type", F.lit("error")), None), "nullif(event_type, 'error') IS NULL", "event_id, event_type"),
     "where_has_value": (EVENT, lambda: P.not_equals(F.nullif("event_type", F.lit("error")), None), "nullif(event_type, 'error') IS NOT NULL", "event_id, event_type"),
     "where_flag_false": (EVENT, lambda: P.flag_is(F.when(F.col("event_type") != "click", F.col("value") > 50), False), "CASE WHEN event_type <> 'click' THEN value > 50 END = false", "event_id, event_type"),
-    "where_enum": (ORDER, lambda: F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(0) == 2, "CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 0 END = 2", _ORDER),
+    "where_enum": (STATUS_ORDER, lambda: STATUS_ORDER.enum_column("o_orderstatus") == STATUS_ORDER.enum("o_orderstatus", "F"), "CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 0 END = 2", _ORDER),
     "is_one_of": (ORDER, lambda: P.call("is_one_of", F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]), "o_orderpriority IN ('1-URGENT', '2-HIGH')", _ORDER),
     "is_one_of_empty": (ORDER, lambda: P.is_one_of(F.col("o_orderpriority"), []), "false", _ORDER),
     "str_contains": (PART, lambda: F.col("p_type").contains("E"), "contains(p_type, 'E')", "p_partkey, p_type"),
-    "str_starts": (PART, lambda: F.col("p_name").startswith("part_1"), "starts_with(p_name, 'part_1')", "p_partkey, p_name"),
+    "str_starts": (PART, lambda: F.col("p_name").startswith("small"), "starts_with(p_name, 'small')", "p_partkey, p_name"),
     "str_ends": (CUSTOMER, lambda: F.col("c_name").endswith("7"), "c_name LIKE '%7'", _CUST),
     "str_ci_equals": (CUSTOMER, lambda: P.equals_ignore_case(F.col("c_mktsegment"), "Building"), "lower(c_mktsegment) = 'building'", _CUST),
     "str_lower": (CUSTOMER, lambda: F.lower("c_mktsegment") == "machinery", "lower(c_mktsegment) = 'machinery'", _CUST),
@@ -75,8 +76,8 @@ _FILTERS = {
     "str_null_or_empty": (EVENT, lambda: P.null_or_empty(F.when(F.col("event_type") == "view", F.lit("")).when(F.col("event_type") != "click", F.col("event_type"))), "event_type IN ('view', 'click')", "event_id, event_type"),
     "str_null_or_blank": (EVENT, lambda: P.null_or_blank(F.when(F.col("event_type") == "view", F.lit("   ")).when(F.col("event_type") != "click", F.col("event_type"))), "event_type IN ('view', 'click')", "event_id, event_type"),
     "str_length": (CUSTOMER, lambda: P.text_length(F.concat("c_mktsegment", F.lit("  "))) > 8, "length(rtrim(c_mktsegment || '  ')) > 8", _CUST),
-    "array_contains": (EMBEDDING, lambda: P.array_has(F.transform("embedding", lambda x: x > 3.0), True), "list_contains([x > 3.0 FOR x IN embedding], true)", "vec_id, label"),
-    "array_is_empty": (EMBEDDING, lambda: P.array_is_empty(F.when(F.col("label") > 3, F.filter("embedding", lambda x: x > 3.5))), "coalesce(len(CASE WHEN label > 3 THEN [x FOR x IN embedding IF x > 3.5] END), 0) = 0", "vec_id, label"),
+    "array_contains": (EMBEDDING, lambda: P.array_has(F.transform("embedding", lambda x: x > 0.3), True), "list_contains([x > 0.3 FOR x IN embedding], true)", "vec_id, label"),
+    "array_is_empty": (EMBEDDING, lambda: P.array_is_empty(F.when(F.col("label") > 3, F.filter("embedding", lambda x: x > 0.25))), "coalesce(len(CASE WHEN label > 3 THEN [x FOR x IN embedding IF x > 0.25] END), 0) = 0", "vec_id, label"),
     "nested_member": (EVENT, lambda: F.from_json("props", "k int")["k"] >= 90, "CAST(json_extract_string(props, '$.k') AS INT) >= 90", "event_id, event_type"),
     "hierarchy": (ERROR_EVENT, lambda: F.col("value") > 10, "event_type = 'error' AND value > 10", "event_id, event_type"),
 }
@@ -213,9 +214,9 @@ def json_member(s: SparkSession, d: str) -> DataFrame:
     return on(s, d, EVENT).select("event_id", P.json_member(F.col("props"), "$.k", "int").alias("k")).frame()
 
 
-@query("unnest", "SELECT vec_id, x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 2.5")
+@query("unnest", "SELECT vec_id, x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 0.2")
 def unnest(s: SparkSession, d: str) -> DataFrame:
-    return on(s, d, EMBEDDING).explode("embedding", "x").where(F.col("x") > 2.5).select("vec_id", "x").frame()
+    return on(s, d, EMBEDDING).explode("embedding", "x").where(F.col("x") > 0.2).select("vec_id", "x").frame()
 
 
 # --- joins -----------------------------------------------------------------------------------------------------

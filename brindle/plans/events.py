@@ -108,18 +108,23 @@ def conversation_turns(s: SparkSession, d: str) -> DataFrame:
 # --- high-water mark -----------------------------------------------------------------------------------
 
 
+_FIRST_HOLE = """WITH ids AS (SELECT -1::BIGINT AS id UNION ALL SELECT event_id FROM events WHERE {kept}),
+    ahead AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ids)
+    SELECT coalesce(min(id) FILTER (WHERE nxt > id + 1), max(id))::INT AS mark FROM ahead"""
+
+
 @query("high_water_contiguous", "SELECT max(event_id) AS mark FROM events")
 def high_water_contiguous(s: SparkSession, d: str) -> DataFrame:
     return E.high_water(log(s, d), -1)
 
 
-@query("high_water_gap", "SELECT 996 AS mark")
+@query("high_water_gap", _FIRST_HOLE.format(kept="event_id % 997 <> 0 OR event_id = 0"))
 def high_water_gap(s: SparkSession, d: str) -> DataFrame:
     rows = log(s, d).where((F.col("seq_id") % 997 != 0) | (F.col("seq_id") == 0))
     return E.high_water(rows, -1).select(F.col("mark").cast("int").alias("mark"))
 
 
-@query("high_water_leading_gap", "SELECT -1 AS mark")
+@query("high_water_leading_gap", _FIRST_HOLE.format(kept="event_id % 997 <> 0"))
 def high_water_leading_gap(s: SparkSession, d: str) -> DataFrame:
     return E.high_water(log(s, d).where(F.col("seq_id") % 997 != 0), -1).select(F.col("mark").cast("int").alias("mark"))
 
@@ -307,13 +312,8 @@ def single_stream_projection(s: SparkSession, d: str) -> DataFrame:
     return fold(log(s, d), "stream_id", _members())
 
 
-@query("projection_with_create", _LOG + f"SELECT stream_id, {_MEMBERS} FROM log WHERE version <= 5 GROUP BY stream_id HAVING count(*) FILTER (WHERE type = 'signup') > 0")
+@query("projection_with_create", _LOG + f"SELECT stream_id, {_MEMBERS} FROM log GROUP BY stream_id HAVING count(*) FILTER (WHERE type = 'signup' AND value > 95) > 0")
 def projection_with_create(s: SparkSession, d: str) -> DataFrame:
-    return fold(log(s, d).where(F.col("version") <= 5), "stream_id", _members(), create=("signup",))
-
-
-@query("projection_with_create_all", _LOG + f"SELECT stream_id, {_MEMBERS} FROM log GROUP BY stream_id HAVING count(*) FILTER (WHERE type = 'signup' AND value > 95) > 0")
-def projection_with_create_all(s: SparkSession, d: str) -> DataFrame:
     return fold(log(s, d), "stream_id", _members(), create=(F.col("type") == "signup") & (F.col("value") > 95))
 
 
@@ -327,23 +327,12 @@ def projection_with_delete(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "aggregate_last_known",
-    _LOG + f""", few AS (SELECT * FROM log WHERE version <= 12), ends AS (SELECT stream_id, max(seq_id) AS last FROM few GROUP BY stream_id),
-    tail AS (SELECT few.* FROM few JOIN ends USING (stream_id) WHERE NOT (seq_id = last AND type = 'error')),
-    cuts AS (SELECT stream_id, max(seq_id) AS cut FROM tail WHERE type = 'error' GROUP BY stream_id)
-    SELECT stream_id, {_MEMBERS} FROM tail LEFT JOIN cuts USING (stream_id) WHERE cut IS NULL OR seq_id > cut GROUP BY stream_id""",
-)
-def aggregate_last_known(s: SparkSession, d: str) -> DataFrame:
-    return last_known(log(s, d).where(F.col("version") <= 12), "stream_id", _members(), F.col("type") == "error")
-
-
-@query(
-    "aggregate_last_known_all",
     _LOG + f""", ends AS (SELECT stream_id, max(seq_id) AS last FROM log GROUP BY stream_id),
     tail AS (SELECT log.* FROM log JOIN ends USING (stream_id) WHERE NOT (seq_id = last AND type = 'error')),
     cuts AS (SELECT stream_id, max(seq_id) AS cut FROM tail WHERE type = 'error' GROUP BY stream_id)
     SELECT stream_id, {_MEMBERS} FROM tail LEFT JOIN cuts USING (stream_id) WHERE cut IS NULL OR seq_id > cut GROUP BY stream_id""",
 )
-def aggregate_last_known_all(s: SparkSession, d: str) -> DataFrame:
+def aggregate_last_known(s: SparkSession, d: str) -> DataFrame:
     return last_known(log(s, d), "stream_id", _members(), F.col("type") == "error")
 
 
@@ -372,13 +361,8 @@ def daily_segments(s: SparkSession, d: str) -> DataFrame:
     return fold(rows, "segment", [Member("n", "count"), Member("spent", "add", ("purchase",), F.round(F.col("value") * 100).cast("bigint"))])
 
 
-@query("step_timeline", _LOG + f"SELECT stream_id, seq_id, type, count(*) FILTER (WHERE type = 'click') OVER w AS clicks, coalesce(sum({_CENTS}) FILTER (WHERE type = 'purchase') OVER w, 0)::BIGINT AS spent FROM log WHERE stream_id < 20 WINDOW w AS (PARTITION BY stream_id ORDER BY seq_id ROWS UNBOUNDED PRECEDING)")
+@query("step_timeline", _LOG + f"SELECT stream_id, seq_id, type, count(*) FILTER (WHERE type = 'click') OVER w AS clicks, coalesce(sum({_CENTS}) FILTER (WHERE type = 'purchase') OVER w, 0)::BIGINT AS spent FROM log WINDOW w AS (PARTITION BY stream_id ORDER BY seq_id ROWS UNBOUNDED PRECEDING)")
 def step_timeline(s: SparkSession, d: str) -> DataFrame:
-    return timeline(log(s, d).where(F.col("stream_id") < 20), "stream_id", _members()[:2])
-
-
-@query("step_timeline_all", _LOG + f"SELECT stream_id, seq_id, type, count(*) FILTER (WHERE type = 'click') OVER w AS clicks, coalesce(sum({_CENTS}) FILTER (WHERE type = 'purchase') OVER w, 0)::BIGINT AS spent FROM log WINDOW w AS (PARTITION BY stream_id ORDER BY seq_id ROWS UNBOUNDED PRECEDING)")
-def step_timeline_all(s: SparkSession, d: str) -> DataFrame:
     return timeline(log(s, d), "stream_id", _members()[:2])
 
 
@@ -417,20 +401,6 @@ def _column_maps() -> dict[str, list[ColumnMap]]:
 
 @query(
     "flat_table",
-    _LOG + f""", cuts AS (SELECT stream_id, max(seq_id) AS cut FROM log WHERE type = 'error' AND version < 8 GROUP BY stream_id),
-    live AS (SELECT log.* FROM log LEFT JOIN cuts USING (stream_id) WHERE version < 8 AND (cut IS NULL OR seq_id > cut) AND type <> 'error'),
-    based AS (SELECT *, max(seq_id) FILTER (WHERE type = 'signup') OVER (PARTITION BY stream_id) AS base FROM live)
-    SELECT stream_id, arg_max('member', seq_id) FILTER (WHERE type = 'signup') AS status,
-    (coalesce(arg_max({_CENTS}, seq_id) FILTER (WHERE type = 'signup'), 0) + coalesce(sum(CASE WHEN type = 'purchase' THEN {_CENTS} ELSE 0 END) FILTER (WHERE base IS NULL OR seq_id > base), 0))::BIGINT AS credit,
-    coalesce(sum(CASE type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END), 0)::BIGINT AS score
-    FROM based GROUP BY stream_id""",
-)
-def flat_table_query(s: SparkSession, d: str) -> DataFrame:
-    return flat_table(log(s, d).where(F.col("version") < 8), "stream_id", _column_maps(), deletes=["error"])
-
-
-@query(
-    "flat_table_all",
     _LOG + f""", cuts AS (SELECT stream_id, max(seq_id) AS cut FROM log WHERE type = 'error' GROUP BY stream_id),
     live AS (SELECT log.* FROM log LEFT JOIN cuts USING (stream_id) WHERE (cut IS NULL OR seq_id > cut) AND type <> 'error'),
     based AS (SELECT *, max(seq_id) FILTER (WHERE type = 'signup') OVER (PARTITION BY stream_id) AS base FROM live)
@@ -439,7 +409,7 @@ def flat_table_query(s: SparkSession, d: str) -> DataFrame:
     coalesce(sum(CASE type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END), 0)::BIGINT AS score
     FROM based GROUP BY stream_id""",
 )
-def flat_table_all(s: SparkSession, d: str) -> DataFrame:
+def flat_table_query(s: SparkSession, d: str) -> DataFrame:
     return flat_table(log(s, d), "stream_id", _column_maps(), deletes=["error"])
 
 

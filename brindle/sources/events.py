@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from brindle.operators.paging import Page, page
-from brindle.operators.sequence import global_row_number
+from brindle.operators.sequence import global_lead, global_row_number
+from brindle.sources.shared import materialize
 
 
 class ConcurrencyError(Exception):
@@ -114,21 +115,34 @@ def statistics(events: DataFrame) -> DataFrame:
 # --- high-water mark ---------------------------------------------------------------------------
 
 
-def gaps(events: DataFrame, after: int = 0) -> DataFrame:
-    """Missing stretches of the sequence behind ``after``: gap_after, gap_before, missing.
+#: Numbers that a group of the sequence has, when gaps are looked for.
+GROUP = 1000
+
+
+def _holes(ids: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Where the sequence (of each of ``keys``) breaks or ends: the keys, gap_after and gap_before (null at the end).
 
-    Only groups of a thousand numbers that are not full are looked at row by row, so a log without
-    gaps costs one aggregation and no sort.
+    Only groups of a thousand numbers that are not full are looked at row by row, and what follows a group is found
+    range by range, so a log without gaps costs one aggregation and a sort of a thousandth of its rows.
     """
-    ids = events.where(F.col("seq_id") > after).select("seq_id")
-    bucket = F.floor(F.col("seq_id") / 1000)
-    edges = ids.groupBy(bucket.alias("bucket")).agg(F.min("seq_id").alias("lo"), F.max("seq_id").alias("hi"), F.count("*").alias("n"))
-    inner = edges.where(F.col("hi") - F.col("lo") + 1 != F.col("n")).select("bucket")
-    following = F.lead("seq_id").over(Window.partitionBy("bucket").orderBy("seq_id"))
-    inside = ids.withColumn("bucket", bucket).join(inner, "bucket", "left_semi").select(F.col("seq_id").alias("gap_after"), following.alias("gap_before"))
-    # Between buckets: a bucket more than a hundred thousand times smaller than the log is one row here.
-    between = edges.select(F.col("hi").alias("gap_after"), F.lead("lo").over(Window.orderBy("bucket")).alias("gap_before"))
-    found = inside.unionByName(between).where(F.col("gap_before") - F.col("gap_after") > 1)
+    bucket = F.floor(F.col("seq_id") / GROUP)
+    edges = ids.groupBy(*keys, bucket.alias("bucket")).agg(F.min("seq_id").alias("lo"), F.max("seq_id").alias("hi"), F.count_distinct("seq_id").alias("n"))
+    edges = materialize(edges, "edges")
+    broken = edges.where(F.col("hi") - F.col("lo") + 1 != F.col("n")).select(*keys, "bucket")
+    following = F.lead("seq_id").over(Window.partitionBy(*keys, "bucket").orderBy("seq_id"))
+    inside = ids.withColumn("bucket", bucket).join(broken, [*keys, "bucket"], "left_semi").select(*keys, F.col("seq_id").alias("gap_after"), following.alias("gap_before"))
+    ahead = global_lead(edges, [*map(F.col, keys), F.col("bucket")], F.struct(*keys, "lo"), "_ahead")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_ahead.{key}"))
+    between = ahead.select(*keys, F.col("hi").alias("gap_after"), F.when(same, F.col("_ahead.lo")).alias("gap_before"))
+    holes = inside.where(F.col("gap_before") - F.col("gap_after") > 1).unionByName(between)
+    return holes.where(F.col("gap_before").isNull() | (F.col("gap_before") - F.col("gap_after") > 1))
+
+
+def gaps(events: DataFrame, after: int = 0) -> DataFrame:
+    """Missing stretches of the sequence behind ``after``: gap_after, gap_before, missing."""
+    found = _holes(events.where(F.col("seq_id") > after).select("seq_id")).where(F.col("gap_before").isNotNull())
     return found.withColumn("missing", F.col("gap_before") - F.col("gap_after") - 1)
 
 
@@ -153,9 +167,7 @@ def high_water(events: DataFrame, mark: int = 0, stale_before: Any = None) -> Da
 
 def high_water_by_tenant(events: DataFrame) -> DataFrame:
     """tenant_id and mark: the last seq_id of each tenant without a gap in the tenant's own numbers."""
-    window = Window.partitionBy("tenant_id").orderBy("seq_id")
-    marked = events.select("tenant_id", "seq_id", F.lead("seq_id").over(window).alias("_next"))
-    return marked.where(F.col("_next").isNull() | (F.col("_next") > F.col("seq_id") + 1)).groupBy("tenant_id").agg(F.min("seq_id").alias("mark"))
+    return _holes(events.select("tenant_id", "seq_id"), ["tenant_id"]).groupBy("tenant_id").agg(F.min("gap_after").alias("mark"))
 
 
 # --- tags ------------------------------------------------------------------------------------
@@ -211,21 +223,23 @@ def assign_tag(events: DataFrame, tags: DataFrame, condition: Column, tag: str,
 # --- writing ----------------------------------------------------------------------------------
 
 
-def append(events: DataFrame, batch: DataFrame, order: str, expected: Mapping[Any, int] | None = None) -> DataFrame:
+def append(events: DataFrame, batch: DataFrame, order: str, expected: Mapping[Any, int] | DataFrame | None = None) -> DataFrame:
     """The rows to append for ``batch`` (stream_id, ``order``, and other columns), numbered.
 
     Versions go on from each stream's, in ``order``; sequence numbers go on from the log's, in the same order
-    over all.  Appending to an archived stream is an error, and so is a stream of ``expected`` whose version
-    is another.
+    over all.  Appending to an archived stream is an error, and so is a stream of ``expected`` (a mapping, or a frame
+    of stream_id and version) whose version is another; a stream that is not there has version 0.
     """
     touched = batch.select("stream_id").distinct()
     current = events.join(touched, "stream_id", "left_semi").groupBy("stream_id").agg(F.max("version").alias("_base"), *([F.max("is_archived").alias("_gone")] if "is_archived" in events.columns else []))
     if "is_archived" in events.columns and current.where("_gone").take(1):
         raise ValueError("a stream that is appended to is archived")
-    if expected:
-        spark = events.sparkSession
-        seen = spark.createDataFrame(list(expected.items()), ["stream_id", "_expected"])
-        if seen.join(current, "stream_id", "left").where(F.coalesce("_base", F.lit(0)) != F.col("_expected")).take(1):
+    if isinstance(expected, DataFrame) or expected:
+        if not isinstance(expected, DataFrame):
+            expected = events.sparkSession.createDataFrame(list(expected.items()), ["stream_id", "version"])
+        seen = expected.select("stream_id", F.col("version").alias("_expected"))
+        versions = events.join(seen.select("stream_id"), "stream_id", "left_semi").groupBy("stream_id").agg(F.max("version").alias("_base"))
+        if seen.join(versions, "stream_id", "left").where(F.coalesce("_base", F.lit(0)) != F.col("_expected")).take(1):
             raise ConcurrencyError("a stream is not at the expected version")
     last = events.agg(F.coalesce(F.max("seq_id"), F.lit(0))).first()[0]
     numbered = global_row_number(batch, [F.col(order), F.col("stream_id")], "_place")
@@ -259,7 +273,11 @@ def tombstone(events: DataFrame, tags: DataFrame, streams: DataFrame) -> tuple[D
 
 
 def replace_events(events: DataFrame, changes: DataFrame) -> DataFrame:
-    """The log with data (and type) of some events replaced; ``changes`` has seq_id and the new columns."""
+    """The log with data (and type) of some events replaced; ``changes`` has seq_id and the new columns.
+
+    Of several changes of an event the greatest as JSON text holds.
+    """
+    changes = changes.groupBy(F.col("seq_id").alias("_seq")).agg(F.max_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_row")).select("_row.*")
     new = [c for c in changes.columns if c != "seq_id"]
     other = changes.select("seq_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in new])
     merged = events.join(other, "seq_id", "left")
@@ -297,3 +315,40 @@ def natural_keys(events: DataFrame, key: Column, retired: Column | None = None)
         F.max(F.when(F.col("_retired"), F.col("seq_id"))).alias("_gone"),
     )
     return latest.where(F.col("natural_key").isNotNull() & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_at")))).select("natural_key", "stream_id")
+
+
+def with_natural_key(events: DataFrame, keys: DataFrame, batch: DataFrame, key: str = "natural_key") -> tuple[DataFrame, DataFrame]:
+    """A batch with natural keys as events of streams, and which keys begin new ones: (rows, started).
+
+    ``keys`` (natural_key, stream_id) are those that hold (``natural_keys``).  Rows whose key is known belong to its
+    stream; the others begin a stream whose id is the key's hash, the same in every run.  A key that was retired, or
+    whose stream was archived, is not known any more and begins a stream anew, numbered by the batch's smallest ``seq``.
+    """
+    known = batch.join(keys.select(F.col("natural_key").alias(key), "stream_id"), key, "left")
+    fresh = known.where(F.col("stream_id").isNull())
+    salt = fresh.groupBy(key).agg(F.min("seq").alias("_salt"))
+    started = salt.select(F.col(key), F.xxhash64(key, "_salt").alias("_new"))
+    rows = known.join(started, key, "left").withColumn("stream_id", F.coalesce("stream_id", "_new")).drop("_new")
+    return rows, started.select(F.col(key).alias("natural_key"), F.col("_new").alias("stream_id"))
+
+
+def without_archived_keys(keys: DataFrame, events: DataFrame) -> DataFrame:
+    """Natural keys whose stream is not archived."""
+    gone = events.where("is_archived").select("stream_id").distinct()
+    return keys.join(gone, "stream_id", "left_anti").select(*keys.columns)
+
+
+def of_tenant(events: DataFrame, tenant: str | None, archived: bool = False) -> DataFrame:
+    """What an explorer reads: all of one tenant, or of all, in sequence order, archived events marked if asked for."""
+    return visible(events, tenant, archived).orderBy("seq_id")
+
+
+def pack(data: Column) -> Column:
+    """Event data as the bytes of a binary column."""
+    return F.to_binary(data, F.lit("utf-8"))
+
+
+def unpack(events: DataFrame, data: str = "data", binary: str = "bdata") -> DataFrame:
+    """The log with the binary column read back where the text is missing; bytes that are no UTF-8 stay null."""
+    text = F.when(F.is_valid_utf8(F.decode(binary, "utf-8")), F.decode(binary, "utf-8"))
+    return events.withColumn(data, F.coalesce(data, text)).drop(binary)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,3 +47,10 @@ class DocumentType:
     def enum(self, member: str, value: str) -> int:
         """The stored number of an enum value."""
         return self.enums[member][value]
+
+    def enum_column(self, member: str) -> Column:
+        """The stored number of a member that is a text; a text that is no value of the enum is an error where it is met."""
+        values = self.enums[member]
+        numbers = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        known = F.try_element_at(numbers, F.col(member))
+        return F.when(F.col(member).isNull() | known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit(f"no value of {member}: "), F.col(member))).cast("int"))

@@ -7,7 +7,7 @@ then publishes it by one small pointer file; readers follow the pointer.  There
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +23,27 @@ class MissingError(Exception):
     """A document to update is not there."""
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key is not among them."""
+def one_a_key(rows: DataFrame, key: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """One row a key: the last by ``order``, and among equals (or without an order) the greatest as JSON text; null is a key too."""
     keys = [key] if isinstance(key, str) else list(key)
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    last = F.struct(*([F.col(order).alias("order")] if order else []), F.to_json(F.struct("*")).alias("text"))
+    return rows.groupBy(*[F.col(k).alias(f"_key_{n}") for n, k in enumerate(keys)]).agg(F.max_by(F.struct("*"), last).alias("_row")).select("_row.*")
+
+
+def _others(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``old`` whose key, null or not, is not in ``new``."""
+    seen = new.select(*[F.col(k).alias(f"_key_{n}") for n, k in enumerate(keys)])
+    condition = F.lit(True)
+    for n, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{n}"))
+    return old.join(seen, condition, "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """One row of ``new`` a key (``one_a_key``), and those of ``old`` whose key is not among them."""
+    keys = [key] if isinstance(key, str) else list(key)
+    new = one_a_key(new, keys, order)
+    return _others(old, new, keys).unionByName(new)
 
 
 def insert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -36,9 +53,20 @@ def insert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new)
 
 
-def insert_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old``, and the rows of ``new`` whose key is not there."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti"))
+def insert_missing(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``old``, and one row of ``new`` (``one_a_key``) for each key that is not there."""
+    return old.unionByName(_others(one_a_key(new, key, order), old, [key]))
+
+
+def delete_by_id(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``old`` without the rows whose key is in ``ids``; an id that is not there changes nothing."""
+    return old.join(ids.select(key), key, "left_anti")
+
+
+def soft_delete_by_id(old: DataFrame, ids: DataFrame, key: str, at: Column, flag: str = "is_deleted", stamp: str = "deleted_at") -> DataFrame:
+    """Mark the rows whose key is in ``ids`` as deleted, with the time; rows that are deleted keep theirs."""
+    marked = old.join(ids.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    return soft_delete_where(marked, F.col("_hit"), at, flag, stamp).select(*old.columns)
 
 
 def update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -107,11 +135,15 @@ class TableStore:
         """The published rows."""
         current = self._current(table)
         if current is None:
+            fs, appended = self._fs(f"{self.path}/{table}/appended")
+            if fs.exists(appended):
+                return self.spark.read.parquet(f"{self.path}/{table}/appended")
             raise MissingError(f"no table {table}")
         return self.spark.read.parquet(f"{self.path}/{table}/{current}")
 
     def exists(self, table: str) -> bool:
-        return self._current(table) is not None
+        fs, appended = self._fs(f"{self.path}/{table}/appended")
+        return self._current(table) is not None or fs.exists(appended)
 
     def publish(self, table: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> None:
         """Write rows as the table's new state and publish it; the state that is read meanwhile stays.
@@ -125,9 +157,45 @@ class TableStore:
         _, pointer = self._fs(f"{self.path}/{table}/_published/{max(taken) + 1:012d}-{name}")
         fs.create(pointer, False).close()
 
+    def append(self, table: str, rows: DataFrame, batch: int) -> None:
+        """Add a batch of rows to a table that is never published as a whole; a batch that is repeated replaces itself."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/appended/batch={batch}")
+
+    def publish_together(self, name: str, tables: Mapping[str, DataFrame]) -> None:
+        """Write several tables and publish them by one pointer: readers see all of a publication or none."""
+        places = []
+        for table, rows in tables.items():
+            place = f"{table}/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{name}/of/{place}")
+            places.append((table, place))
+        self.publish(name, self.spark.createDataFrame(places, "table string, place string"))
+
+    def read_together(self, name: str) -> dict[str, DataFrame]:
+        """The tables of the last joint publication."""
+        return {r.table: self.spark.read.parquet(f"{self.path}/{name}/of/{r.place}") for r in self.read(name).collect()}  # a row a table
+
+    def clean_all(self) -> None:
+        """Publish every table without rows, and remove appended batches."""
+        fs, root = self._fs(self.path)
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            name = status.getPath().getName()
+            self.clean(name)
+            _, appended = self._fs(f"{self.path}/{name}/appended")
+            fs.delete(appended, True)
+
+    def reset(self) -> None:
+        """Remove all tables."""
+        fs, root = self._fs(self.path)
+        fs.delete(root, True)
+
+    def drop(self, table: str) -> None:
+        """Remove a table with all its states."""
+        fs, folder = self._fs(f"{self.path}/{table}")
+        fs.delete(folder, True)
+
     def clean(self, table: str) -> None:
         """Publish the table without rows."""
-        if self.exists(table):
+        if self._current(table) is not None:
             self.publish(table, self.read(table).limit(0))
 
     def vacuum(self, table: str) -> None:
@@ -135,5 +203,5 @@ class TableStore:
         fs, folder = self._fs(f"{self.path}/{table}")
         current = self._current(table)
         for status in fs.listStatus(folder):
-            if status.getPath().getName() not in (current, "_published"):
+            if status.getPath().getName() not in (current, "_published", "appended", "of"):
                 fs.delete(status.getPath(), True)

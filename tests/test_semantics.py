@@ -256,11 +256,11 @@ def test_folds_of_a_hot_key_hold_no_whole_stream(spark, monkeypatch):
 def test_whole_log_folds_see_long_and_late_streams(spark, tmp_path):
     rows = [(k, 1 if k < 40 else 50, "signup" if k in (30, 45) else "click", dt.datetime(2024, 1, 1), 99.0, "{}") for k in range(60)]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    found = {name: core.QUERIES[name](spark, str(tmp_path)) for name in ("step_timeline_all", "projection_with_create_all", "aggregate_last_known_all", "flat_table_all")}
-    assert found["step_timeline_all"].count() == 60 and found["step_timeline_all"].where("stream_id = 50").agg(F.max("clicks")).first()[0] == 19
-    assert values(found["projection_with_create_all"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
-    assert values(found["aggregate_last_known_all"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
-    assert values(found["flat_table_all"].select("stream_id", "status", "score")) == [(1, "member", 39), (50, "member", 19)]
+    found = {name: core.QUERIES[name](spark, str(tmp_path)) for name in ("step_timeline", "projection_with_create", "aggregate_last_known", "flat_table")}
+    assert found["step_timeline"].count() == 60 and found["step_timeline"].where("stream_id = 50").agg(F.max("clicks")).first()[0] == 19
+    assert values(found["projection_with_create"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
+    assert values(found["aggregate_last_known"].select("stream_id", "clicks")) == [(1, 39), (50, 19)]
+    assert values(found["flat_table"].select("stream_id", "status", "score")) == [(1, "member", 39), (50, "member", 19)]
 
 
 def test_slices_fan_out(spark):
