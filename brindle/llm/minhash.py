@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import vector
@@ -24,6 +24,8 @@ MISS = 3e-7
 CHUNK = 64
 #: Shingles that a comparison holds at once, as columns of a matrix.
 TILE = 8192
+#: Shingles are counted in so many bins (2 to the power), to tell rare ones.
+RARE_BITS = 18
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
@@ -224,33 +226,57 @@ def _small_blocks(members: DataFrame) -> DataFrame:
     return block.select("block", F.lit(1).alias("part"), F.lit(True).alias("inner"), F.col("doc_id").alias("component"), "doc_id")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a shingle of each set."""
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall into each of ``2 ** RARE_BITS`` bins of their hashes."""
+    counts = np.zeros(1 << RARE_BITS, np.int64)
     for batch in batches:
         for k in range(batch.num_rows):
-            found = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.int64)
-            same = [pa.repeat(batch.column(n)[k], len(found)) for n in ("doc_id", "component", "size")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["doc_id", "component", "size", "shingle"])
+            found = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.uint64)
+            np.add.at(counts, found >> np.uint64(64 - RARE_BITS), 1)
+    filled = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bin", "n"])
+
+
+def _rarest(shared, percent: int):
+    """Groups of each document: of its rarest shingles those that others may have, with the class of its size and the next."""
+    step = max(1e-9, math.log(100 / percent) * 1.0001)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            bands, sizes = [], []
+            for k in range(batch.num_rows):
+                found = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.uint64)
+                n = counts[found >> np.uint64(64 - RARE_BITS)]
+                first = np.lexsort([found, n])[: len(found) - -(-percent * len(found) // 100) + 1]
+                met = found[first[n[first] > 1]]
+                # Sizes of a linked pair are in the same class or in neighbours.
+                own = np.uint64(math.floor(math.log(len(found)) / step))
+                bands += [vector.mix(met + vector.mix(np.array([own + np.uint64(j)], np.uint64))) for j in range(2)]
+                sizes.append(2 * len(met))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("doc_id").take(rows), batch.column("component").take(rows)], names=["band", "doc_id", "component"])
+
+    return rarest
 
 
 def _alike(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Groups (band, doc_id, component) in which any two linked documents of ``members`` (doc_id, component) meet.
+    """Groups (band, n, doc_id, component) in which any two linked documents of ``members`` (doc_id, component) meet.
 
     Of a set's shingles, the rarest among the members first, so many are taken that a set without any of them has too few
     in common; two documents meet at a common one of those, if their sizes let them be linked.  Documents that
-    share a frame but not their own words have only shingles of their own there, and meet no other.
+    share a frame but not their own words have only shingles of their own there, and meet no other.  Any order that is the
+    same for all sets would do; how rare a shingle is comes from counts in a fixed number of bins, which are
+    small enough to be sent to every task.
     """
-    rows = sets.join(members.select("doc_id", "component").distinct(), "doc_id").select("doc_id", "component", "size", "shingles")
-    rows = materialize(rows.mapInArrow(_unpacked, "doc_id bigint, component bigint, size bigint, shingle bigint"), "shingles")
-    shared = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    own = Window.partitionBy("doc_id")  # one document's shingles
-    rank = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)  # those of no other come first
-    first = rows.join(shared, "shingle").withColumn("rank", rank)
-    first = first.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-    # Sizes of a linked pair are in the same class or in neighbours.
-    size_class = F.floor(F.log("size") / max(1e-9, math.log(100 / percent) * 1.0001))
-    keys = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.xxhash64("shingle", size_class + k))
-    found = materialize(first.select("doc_id", "component", F.explode(keys).alias("band")), "met")
+    rows = materialize(sets.join(members.select("doc_id", "component").distinct(), "doc_id").select("doc_id", "component", "shingles"), "rows")
+    tally = rows.select("shingles").mapInArrow(_tally, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # a row a bin
+    counts = np.zeros(1 << RARE_BITS, np.int64)
+    counts[tally.column("bin").to_numpy()] = tally.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    found = materialize(rows.mapInArrow(_rarest(shared, percent), "band bigint, doc_id bigint, component bigint"), "met")
+    shared.destroy()
     groups = found.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
     groups = materialize(groups.where(F.col("least") < F.col("most")).select("band", "n"), "groups")
     return materialize(found.join(groups, "band"), "met")
