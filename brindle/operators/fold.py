@@ -95,6 +95,19 @@ def slice_by(events: DataFrame, *rules: tuple[str, Column], name: str = "slice_k
     return sliced.withColumn(name, F.explode(name)) if sliced.schema[name].dataType.typeName() == "array" else sliced
 
 
+def event_documents(events: DataFrame, *rules: tuple[str, Column, Sequence[Column]], name: str = "id") -> DataFrame:
+    """A document for each event of some types: (type, id, members); an event type without a rule makes none.
+
+    Members that a rule does not name are null.  Ids that come twice stand for the later event.
+    """
+    made = None
+    for kind, key, members in rules:
+        own = events.where(F.col("type") == kind).select(key.alias(name), F.col("seq_id").alias("_seq"), *members)
+        made = own if made is None else made.unionByName(own, allowMissingColumns=True)
+    last = made.groupBy(F.col(name).alias("_key")).agg(F.max_by(F.struct("*"), "_seq").alias("_row"))
+    return last.select("_row.*").drop("_seq")
+
+
 def fold_function(
     events: DataFrame, key: str, columns: Sequence[str], zero: Column, step: Callable[[Column, Column], Column], name: str = "state", merge: Callable[[Column, Column], Column] | None = None
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX = "v1:"
+PREFIX = "rows1."
 
 
 @dataclass(frozen=True)

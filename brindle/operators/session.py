@@ -7,7 +7,7 @@ for every path, and the terminals.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -20,6 +20,8 @@ from brindle.sources.schema import DocumentType
 
 #: Ids up to which a list becomes a predicate; longer ones are joined.
 ID_LIST = 1000
+#: Rows that a JSON array may have.
+JSON_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,7 @@ class Session:
 
     def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], tenant: str | None = None) -> None:
         self.spark, self.read, self.tenant = spark, read, tenant
+        self.queued: list[Callable[[], DataFrame]] = []
 
     def query(self, kind: DocumentType) -> Query:
         """All documents of a type that the session may see."""
@@ -93,6 +96,33 @@ class Session:
         """Several plans at once; they share nothing but the session, and nothing runs before it is asked for."""
         return [plan(self) for plan in plans]
 
+    def queue_sql(self, text: str, *args: Any, placeholder: str = "?") -> None:
+        """A statement that ``save_changes`` is to run, after those queued before."""
+        self.queued.append(lambda: self.sql(text, *args, placeholder=placeholder))
+
+    def save_changes(self) -> int:
+        """Run what was queued, in order; how many statements there were.  After an error the rest stays queued."""
+        n = 0
+        while self.queued:
+            self.queued[0]()
+            self.queued.pop(0)
+            n += 1
+        return n
+
+    def inspect(self, kind: DocumentType, equal: Mapping[str, Any] | None = None, contains: Mapping[str, str] | None = None, number: int = 1, size: int = 25) -> paging.Page:
+        """A page of a type's documents for diagnostics: id, tenant and JSON of all tenants' rows, deleted ones too, and how many there are.
+
+        ``equal`` and ``contains`` (a part of a member as text, whatever the case) narrow them; rows are in the order of ids.
+        """
+        query = self.query(kind).maybe_deleted().any_tenant()
+        for column, value in (equal or {}).items():
+            query = query.where(F.col(column).isNull() if value is None else F.col(column) == value)
+        for column, part in (contains or {}).items():
+            query = query.where(F.lower(F.col(column).cast("string")).contains(part.lower()))
+        found = query.order_by(kind.id).page(number, size)
+        columns = [F.col(c) for c in dict.fromkeys(c for c in (kind.id, kind.tenant) if c)]
+        return replace(found, rows=found.rows.select(*columns, json_object(*found.rows.columns).alias("json")))
+
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -257,19 +287,31 @@ class Query:
     def average(self, column: Column | str, name: str = "average") -> DataFrame:
         return self._counted().agg(F.avg(F.col(column).cast("double") if isinstance(column, str) else column.cast("double")).alias(name))
 
+    def _taken(self, n: int) -> tuple[DataFrame, int]:
+        """Up to ``n`` rows, run once and held, and how many there are."""
+        found = self.take(n).frame()
+        rows = found.take(n)
+        return self.session.spark.createDataFrame(rows, found.schema), len(rows)
+
     def first(self, or_default: bool = False) -> DataFrame:
         """The first row; none is an error unless a default is asked for."""
-        found = self.take(1).frame()
-        if not or_default and not found.take(1):
+        found, n = self._taken(1)
+        if not n and not or_default:
             raise LookupError("the query has no rows")
         return found
 
+    def first_with_version(self, name: str = "version", or_default: bool = True) -> DataFrame:
+        """The first row as JSON text, and its version, which the type has to have."""
+        if self.kind.version is None:
+            raise ValueError(f"{self.kind.name} has no version")
+        found = self.first(or_default)
+        return found.select(json_object(*found.columns).alias("json"), F.col(self.kind.version).alias(name))
+
     def single(self, or_default: bool = False) -> DataFrame:
         """The only row; a second is an error."""
-        found = self.take(2).frame()
-        rows = len(found.take(2))
-        if rows > 1 or not rows and not or_default:
-            raise LookupError(f"the query has {'more than one row' if rows else 'no rows'}")
+        found, n = self._taken(2)
+        if n > 1 or not n and not or_default:
+            raise LookupError(f"the query has {'more than one row' if n else 'no rows'}")
         return found
 
     def last(self) -> DataFrame:
@@ -301,6 +343,13 @@ class Query:
         found = self.frame()
         return found.select(json_object(*found.columns).alias("json"))
 
+    def to_json_array(self, name: str = "json", most: int = JSON_ROWS) -> DataFrame:
+        """One row, the rows in order as the text of one JSON array; more than ``most`` rows are an error, since they are one value."""
+        rows = [r[0] for r in self.to_json().take(most + 1)]
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows make no JSON array; ask for a page, or for to_json")
+        return self.session.spark.createDataFrame([("[" + ",".join(rows) + "]",)], f"`{name}` string")
+
     def __getattr__(self, name: str) -> Any:
         raise NotImplementedError(f"queries have no operator {name!r}")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.fold import ColumnMap, Member, flat_table, fold, fold_function, fold_pandas, last_known, slice_by, timeline
+from brindle.operators.fold import ColumnMap, Member, event_documents, flat_table, fold, fold_function, fold_pandas, last_known, slice_by, timeline
 from brindle.plans.core import query, table
 from brindle.sources import events as E
 
@@ -339,7 +339,8 @@ def aggregate_last_known(s: SparkSession, d: str) -> DataFrame:
 @query("aggregate_many", _LOG + "SELECT type AS slice_key, count(*) AS clicks, count(DISTINCT stream_id) AS streams FROM log WHERE type IN ('click', 'view') GROUP BY type")
 def aggregate_many(s: SparkSession, d: str) -> DataFrame:
     rows = slice_by(log(s, d), ("click", F.lit("click")), ("view", F.lit("view")))
-    return rows.groupBy("slice_key").agg(F.count("*").alias("clicks"), F.countDistinct("stream_id").alias("streams"))
+    streams = fold(rows, ["slice_key", "stream_id"], [Member("n", "count")]).groupBy("slice_key").agg(F.count("*").alias("streams"))
+    return fold(rows, "slice_key", [Member("clicks", "count")]).join(streams, "slice_key")
 
 
 @query("multi_stream_projection", _LOG + f"SELECT slice_key, {_MEMBERS} FROM (SELECT *, CASE type WHEN 'purchase' THEN 'p' || stream_id % 20 WHEN 'click' THEN 'c' || stream_id % 5 END AS slice_key FROM log) WHERE slice_key IS NOT NULL GROUP BY slice_key")
@@ -415,7 +416,8 @@ def flat_table_query(s: SparkSession, d: str) -> DataFrame:
 
 @query("event_projection", _LOG + "SELECT 'purchase-' || seq_id AS id, stream_id, round(value * 1.2, 4) AS gross FROM log WHERE type = 'purchase'")
 def event_projection(s: SparkSession, d: str) -> DataFrame:
-    return log(s, d).where(F.col("type") == "purchase").select(F.concat(F.lit("purchase-"), "seq_id").alias("id"), "stream_id", F.round(F.col("value") * 1.2, 4).alias("gross"))
+    members = [F.col("stream_id"), F.round(F.col("value") * 1.2, 4).alias("gross")]
+    return event_documents(log(s, d), ("purchase", F.concat(F.lit("purchase-"), "seq_id"), members))
 
 
 @query("enriched_projection", _LOG + "SELECT c_mktsegment AS segment, count(*) AS n FROM log JOIN customer ON stream_id = c_custkey GROUP BY c_mktsegment")

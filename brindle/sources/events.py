@@ -317,7 +317,7 @@ def natural_keys(events: DataFrame, key: Column, retired: Column | None = None)
     return latest.where(F.col("natural_key").isNotNull() & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_at")))).select("natural_key", "stream_id")
 
 
-def with_natural_key(events: DataFrame, keys: DataFrame, batch: DataFrame, key: str = "natural_key") -> tuple[DataFrame, DataFrame]:
+def with_natural_key(keys: DataFrame, batch: DataFrame, key: str = "natural_key") -> tuple[DataFrame, DataFrame]:
     """A batch with natural keys as events of streams, and which keys begin new ones: (rows, started).
 
     ``keys`` (natural_key, stream_id) are those that hold (``natural_keys``).  Rows whose key is known belong to its
@@ -350,5 +350,4 @@ def pack(data: Column) -> Column:
 
 def unpack(events: DataFrame, data: str = "data", binary: str = "bdata") -> DataFrame:
     """The log with the binary column read back where the text is missing; bytes that are no UTF-8 stay null."""
-    text = F.when(F.is_valid_utf8(F.decode(binary, "utf-8")), F.decode(binary, "utf-8"))
-    return events.withColumn(data, F.coalesce(data, text)).drop(binary)
+    return events.withColumn(data, F.coalesce(data, F.try_validate_utf8(F.col(binary).cast("string")))).drop(binary)

@@ -7,7 +7,8 @@ then publishes it by one small pointer file; readers follow the pointer.  There
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,18 +162,30 @@ class TableStore:
         """Add a batch of rows to a table that is never published as a whole; a batch that is repeated replaces itself."""
         rows.write.mode("overwrite").parquet(f"{self.path}/{table}/appended/batch={batch}")
 
-    def publish_together(self, name: str, tables: Mapping[str, DataFrame]) -> None:
-        """Write several tables and publish them by one pointer: readers see all of a publication or none."""
-        places = []
-        for table, rows in tables.items():
+    @contextmanager
+    def publication(self, name: str, add: bool = False) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
+        """Write several tables and publish them by one pointer at the end: readers see all of a publication or none.
+
+        ``write(table, rows)`` writes a table and returns what was written.  With ``add`` its rows are added to those of the
+        publication before, and tables that are not written stay; else only what is written is there.
+        """
+        places = [(r.table, r.place) for r in self.read(name).collect()] if add and self.exists(name) else []  # a row a write
+
+        def write(table: str, rows: DataFrame) -> DataFrame:
             place = f"{table}/{uuid.uuid4().hex}"
             rows.write.parquet(f"{self.path}/{name}/of/{place}")
             places.append((table, place))
+            return self.spark.read.parquet(f"{self.path}/{name}/of/{place}")
+
+        yield write
         self.publish(name, self.spark.createDataFrame(places, "table string, place string"))
 
     def read_together(self, name: str) -> dict[str, DataFrame]:
         """The tables of the last joint publication."""
-        return {r.table: self.spark.read.parquet(f"{self.path}/{name}/of/{r.place}") for r in self.read(name).collect()}  # a row a table
+        places: dict[str, list[str]] = {}
+        for r in self.read(name).collect():
+            places.setdefault(r.table, []).append(f"{self.path}/{name}/of/{r.place}")
+        return {table: self.spark.read.parquet(*paths) for table, paths in places.items()}
 
     def clean_all(self) -> None:
         """Publish every table without rows, and remove appended batches."""
