@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brindle.llm import progressive_jpeg as jpeg
 from brindle.llm import vector
+from brindle.llm.text import quoted
 
 BLOCK = 64
 #: Larger images are reported in ``error``: about 12 bytes a pixel are held at once.
@@ -34,15 +36,18 @@ def decode_images(frame: DataFrame, column: str = "media", most_pixels: int = MO
     if column in new:
         raise ValueError(f"the images' column may not be named {column}")
 
+    frame = frame.select(*[quoted(c) for c in kept])
+    plain, own = vector.numbered(frame), f"c{kept.index(column)}"
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in vector.slices(whole, column):
-                rows = [_tensor(v, most_pixels) for v in _read(batch.column(column).to_pylist())]
+            for batch in vector.slices(whole, own):
+                rows = [_tensor(v, most_pixels) for v in _read(batch.column(own).to_pylist())]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *new])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in frame.select(*[f"`{c}`" for c in kept]).dtypes)
-    return frame.select(*[f"`{c}`" for c in kept]).mapInArrow(decode, f"{types}, height int, width int, rgb binary, error string")
+    schema = StructType([*plain.schema.fields, *StructType.fromDDL("height int, width int, rgb binary, error string").fields])
+    return plain.mapInArrow(decode, schema).toDF(*kept, *new)
 
 
 def _read(files: list[bytes | None]) -> list[jpeg.Image | str | None]:

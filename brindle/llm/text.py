@@ -37,6 +37,11 @@ def own_names(frame: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever signs it has, as one name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def all_columns(frame: DataFrame) -> list[Column]:
     """A frame's columns, whatever signs their names have."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
+    return [F.col(quoted(c)) for c in frame.columns]

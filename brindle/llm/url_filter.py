@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.text import lower_ascii
+from brindle.llm.text import lower_ascii, quoted
 from brindle.operators.joins import join_small
 from brindle.sources.shared import materialize
 
@@ -153,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, outcomes: DataFr
     new = ("host", "path", "rule", "verdict", "high")
     kept = [c for c in pages.columns if c.lower() not in new]
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = pages.select(*[quoted(c) for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumns({"rule": rule, "verdict": verdict})
     labelled = judged.select("host", F.when(F.col("rule").isNotNull(), F.col("verdict") == "allow").alias("good"))
     if outcomes is not None:
@@ -163,4 +163,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, outcomes: DataFr
     rated = materialize(reputation(materialize(hosts, "hosts"), z).select("host", "high"), "hosts")
     judged = join_small(judged, rated, "host", "left").withColumn("high", F.when(F.col("rule").isNull(), F.col("high")))
     judged = judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("high") < least_good, "block").otherwise("allow")))
-    return judged.select(*[F.col(f"`{c}`") for c in kept], *new)
+    return judged.select(*[quoted(c) for c in kept], *new)

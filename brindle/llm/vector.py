@@ -171,12 +171,19 @@ def parts(texts: pa.Array, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def numbered(frame: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, ...: functions on Arrow batches take no names with dots or backticks."""
+    return frame.toDF(*[f"c{k}" for k in range(len(frame.columns))])
+
+
 def filter_texts(frame: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of ``frame`` whose texts ``keep`` answers True for; all columns stay, nothing is shuffled."""
+    own = f"c{frame.columns.index(column)}"
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, column):
-                yield batch.filter(pa.array(keep(batch.column(column)), pa.bool_()))
+            for batch in slices(whole, own):
+                yield batch.filter(pa.array(keep(batch.column(own)), pa.bool_()))
 
-    return frame.mapInArrow(chosen, frame.schema)
+    plain = numbered(frame)
+    return plain.mapInArrow(chosen, plain.schema).toDF(*frame.columns)

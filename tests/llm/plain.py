@@ -163,3 +163,22 @@ def toxic_score(text, weight_of, bias):
         elif sentence:
             none += math.log1p(-1 / (1 + math.exp(-bias)))
     return 1 - math.exp(none)
+
+
+def feature_weights(model, texts):
+    """The learnt weight of each word and beginning of the texts: {(length of the beginning or 0, bytes): weight}."""
+    import numpy as np
+
+    from brindle.llm import vector
+
+    out = {}
+    for w in {w.encode() for t in texts for w in re.findall(f"[{LETTER}0-9]+", lowered(t or ""))}:
+        for n in (0, 4, 5, 6, 7, 8):
+            part = w[:n] if n else w
+            if n and len(w) <= n:
+                continue
+            key = vector.Hasher(np.frombuffer(part, np.uint8))(np.array([0]), np.array([len(part)]))[0] ^ np.uint64(n)
+            at = int(np.searchsorted(model.keys, key))
+            if at < len(model.keys) and model.keys[at] == key:
+                out[n, part] = float(model.weights[at])
+    return out

@@ -493,20 +493,8 @@ def test_toxicity_against_plain_scores(spark, sf):
     learnt = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     model = toxicity.fit(docs, learnt)
     found = {r["doc_id"]: r for r in catalog.QUERIES["op10_toxicity"](spark, sf).collect()}
-    weight_of = {}
-
-    def known(kind, part):
-        key = vector.Hasher(np.frombuffer(part, np.uint8))(np.array([0]), np.array([len(part)]))[0] ^ np.uint64(kind)
-        at = int(np.searchsorted(model.keys, key))
-        if at < len(model.keys) and model.keys[at] == key:
-            weight_of[kind, part] = float(model.weights[at])
-
     rows_ = docs.collect()
-    for w in {w.encode() for r in rows_ for w in re.findall(f"[{plain.LETTER}0-9]+", plain.lowered(r["text"] or ""))}:
-        known(0, w)
-        for n in (4, 5, 6, 7, 8):
-            if len(w) > n:
-                known(n, w[:n])
+    weight_of = plain.feature_weights(model, [r["text"] for r in rows_])
     assert len(found) == len(rows_) and len(weight_of) > 100
     for r in rows_:
         got = found[r["doc_id"]]
