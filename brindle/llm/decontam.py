@@ -50,8 +50,8 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;\n")] = True
 
 
-_JOINS = np.ones(256, bool)  # what may not stand between the words of one name
-_JOINS[list(b" -")] = False
+_JOINS = np.zeros(256, bool)  # what may stand between the words of one name
+_JOINS[list(b" -")] = True
 
 
 class Tokens(NamedTuple):
@@ -76,6 +76,20 @@ def _counts(mask: np.ndarray) -> np.ndarray:
     return sums
 
 
+class _Sparse:
+    """The same counts as ``_counts``, by the places of the few that are True."""
+
+    def __init__(self, mask: np.ndarray) -> None:
+        self.at = np.flatnonzero(mask)
+
+    def __getitem__(self, upto: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, upto)
+
+
+def _byte_counts(mask: np.ndarray) -> np.ndarray | _Sparse:
+    return _counts(mask) if len(mask) <= 2 * vector.SLICE_BYTES else _Sparse(mask)
+
+
 def tokenize(column: pa.Array) -> Forms:
     """Tokens are runs of letters and digits; a point or comma between digits belongs to a number.
 
@@ -96,8 +110,8 @@ def tokenize(column: pa.Array) -> Forms:
     if not len(start):
         return Forms(plain, (plain, plain))
 
-    digits, uppers, stops, apart = _counts(_DIGIT[data]), _counts(low != data), _counts(_STOP[data]), _counts(_JOINS[data])
-    points = _counts((data == 46) | (data == 44))
+    digits, uppers, stops, joins = _byte_counts(_DIGIT[data]), _byte_counts(low != data), _byte_counts(_STOP[data]), _byte_counts(_JOINS[data])
+    points = _byte_counts((data == 46) | (data == 44))
     # A number with letters attached: digits, and points between them, up to the first letter and none after.
     whole = _DIGIT[data[start]] & ~_DIGIT[data[end - 1]]
     cut = start + digits[end] - digits[start] + points[end] - points[start]
@@ -106,7 +120,7 @@ def tokenize(column: pa.Array) -> Forms:
     start, end = np.insert(start, at + 1, cut[at]), np.insert(end, at, cut[at])
     text, literal = vector.owner(start, offsets), hasher(start, end)
 
-    continuation = _counts((data & 0xC0) == 0x80)
+    continuation = _byte_counts((data & 0xC0) == 0x80)
     number = (digits[end] > digits[start]) & _DIGIT[data[start]] & _DIGIT[data[end - 1]]
     first = np.append(True, text[1:] != text[:-1])
     after = np.where(first, start, np.append(0, end[:-1]))
@@ -118,7 +132,7 @@ def tokenize(column: pa.Array) -> Forms:
     capital |= np.where(end - start > 1, (data[start] == 0xC3) & (low[np.minimum(start + 1, len(data) - 1)] != data[np.minimum(start + 1, len(data) - 1)]), False)
     letters = end - start - (continuation[end] - continuation[start])
     name = capital & (uppers[end] - uppers[start] == 1) & (letters > 1) & ~number & ~unit
-    joined = ~begins & (apart[start] == apart[after])
+    joined = ~begins & (joins[start] - joins[after] == start - after)
 
     def reading(name: np.ndarray) -> Tokens:
         more = name & joined & np.append(False, name[:-1])

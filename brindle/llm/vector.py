@@ -87,16 +87,56 @@ TO_LOWER[65:91] += 32
 
 
 class Hasher:
-    """Hashes of stretches of ``data``: equal stretches have equal hashes wherever they stand."""
+    """Hashes of stretches of ``data``: equal stretches have equal hashes wherever they stand.
+
+    A stretch's hash comes from two sums up to its ends.  Of much data, which is one long text, sums are made
+    for some of the stretches at a time, so that they take no multiple of its size.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
-        powers, self._inverse = _power_table(len(data))
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[data] * powers[: len(data)], out=self._sums[1:])
+        self.data = data
+        self._sums = _prefix_sums(data) if len(data) <= 2 * SLICE_BYTES else None
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        value = (self._sums[end] - self._sums[start]) * self._inverse[start]
-        return _mix(value + (end - start).astype(np.uint64))
+        start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+        if self._sums is not None:
+            return _stretch_hash(self._sums, start, end)
+        out = np.zeros(len(start), np.uint64)
+        order = np.argsort(start, kind="stable")
+        upto = np.maximum.accumulate(end[order]) if len(order) else end
+        a = 0
+        while a < len(order):
+            low = int(start[order[a]])
+            b = max(a + 1, min(int(np.searchsorted(start[order], low + SLICE_BYTES)), int(np.searchsorted(upto, low + 2 * SLICE_BYTES, side="right"))))
+            at = order[a:b]
+            high = int(end[at].max())
+            if high - low <= 2 * SLICE_BYTES:
+                out[at] = _stretch_hash(_prefix_sums(self.data[low:high]), start[at] - low, end[at] - low)
+            else:  # one long stretch
+                out[at] = [_long_hash(self.data[i:j]) for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            a = b
+        return out
+
+
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[data] * _power_table(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def _stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    value = (sums[end] - sums[start]) * _power_table(len(sums))[1][start]
+    return _mix(value + (end - start).astype(np.uint64))
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The same for one stretch of any length, part by part."""
+    total, shift = 0, 1
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES]
+        total += int(_prefix_sums(part)[-1]) * shift
+        shift = shift * pow(int(_MULTIPLIER), len(part), 1 << 64) % (1 << 64)
+    return _mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))[0]
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

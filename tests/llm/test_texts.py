@@ -34,6 +34,22 @@ def test_words_equal_a_regular_expression():
     assert len(set(hashed.tolist())) == len(set(strings))
 
 
+def test_long_texts_are_hashed_part_by_part(monkeypatch):
+    """Hashes do not depend on how the data are cut, and are what a sum by the book gives."""
+    draw = np.random.default_rng(9)
+    data = draw.integers(0, 256, 3000).astype(np.uint8)
+    start = np.concatenate([draw.integers(0, 2900, 200), [0, 10, 0, 2999, 3000]])
+    end = np.concatenate([start[:200] + draw.integers(0, 90, 200), [3000, 2500, 0, 3000, 3000]])
+    whole = vector.Hasher(data)(start, end)
+    codes, m = vector._BYTE_CODES.tolist(), int(vector._MULTIPLIER)
+    sums = [sum(codes[b] * pow(m, k, 1 << 64) for k, b in enumerate(data[i:j].tolist())) + int(j - i) for i, j in zip(start, end, strict=True)]
+    assert (vector.mix(np.array([s % (1 << 64) for s in sums], np.uint64)) == whole).all()
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(vector, "SLICE_BYTES", size)
+        assert (vector.Hasher(data)(start, end) == whole).all()
+    assert len(vector.Hasher(data)(np.zeros(0, int), np.zeros(0, int))) == 0
+
+
 def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 50, 0, 7, 90, 1)] + [None]})
     parts = list(vector.slices(batch, "text", 52))
@@ -138,6 +154,15 @@ def test_invented_leaks_against_all_pairs(seed):
     assert found and {*found.values()} == {"copy", "template"} and found == plain.leaks(list(enumerate(docs)), items)
 
 
+def test_long_texts_are_tokenized_alike(monkeypatch):
+    texts = pa.array([*ODD, *(t for pair in TEMPLATES.values() for t in pair), "It's Mary-Ann  Lee-Cook. 3.5kg, 12th and 1,200 km!"])
+    short = decontam.tokenize(texts)
+    monkeypatch.setattr(vector, "SLICE_BYTES", 5)
+    long = decontam.tokenize(texts)
+    for a, b in zip((short.plain, *short.templates), (long.plain, *long.templates), strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
 def test_items_of_one_form_are_looked_for_once(monkeypatch):
     """What a text unfolds does not grow with the items that share its template, and steps are bounded."""
     form = "If Tom has {} apples and buys {} more in the small shop by the river, how many apples are there now?"
