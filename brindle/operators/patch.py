@@ -73,6 +73,28 @@ def remove_where(data: Column, path: str, condition: Any) -> Column:
     return data.withField(path, F.filter(get(data, path), lambda x: ~F.coalesce(condition(x), F.lit(False))))
 
 
+def append_unless(data: Column, path: str, value: Any, condition: Any) -> Column:
+    """Add to the end of an array unless a function of an element holds for any; null does not hold."""
+    array = get(data, path)
+    held = F.exists(array, lambda x: F.coalesce(condition(x), F.lit(False)))
+    return data.withField(path, F.when(held, array).otherwise(F.array_append(array, _lit(value))))
+
+
+def insert_unless(data: Column, path: str, value: Any, condition: Any, at: int | None = None) -> Column:
+    """Insert into an array unless a function of an element holds for any; null does not hold."""
+    held = F.exists(get(data, path), lambda x: F.coalesce(condition(x), F.lit(False)))
+    return F.when(held, data).otherwise(insert(data, path, value, at))
+
+
+def remove_first_where(data: Column, path: str, condition: Any) -> Column:
+    """Remove the first element for which a function of the element holds."""
+    array = get(data, path)
+    hits = F.transform(array, lambda x: F.coalesce(condition(x), F.lit(False)))
+    at = F.array_position(hits, F.lit(True)).cast("int")
+    without = F.concat(F.slice(array, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(array, at + 1, F.size(array)))
+    return data.withField(path, F.when(at > 0, without).otherwise(array))
+
+
 def put_key(data: Column, path: str, key: Any, value: Any) -> Column:
     """Set a key of a map, also one that is there."""
     return data.withField(path, F.map_concat(F.map_filter(get(data, path), lambda k, _: k != _lit(key)), F.create_map(_lit(key), _lit(value))))

@@ -133,6 +133,26 @@ def rebuild_of_one_tenant(s: SparkSession, d: str) -> DataFrame:
     return project(Projection("activity", "stream_id", tuple(_members())), rows, tenant="t2")
 
 
+@query(
+    "append_with_tags",
+    """WITH added AS (SELECT o_custkey, o_orderstatus, (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY o_orderkey) AS seq_id FROM orders WHERE o_orderpriority = '2-HIGH')
+    SELECT 'customer' AS tag, o_custkey::VARCHAR AS value, seq_id FROM added UNION ALL SELECT 'status', o_orderstatus, seq_id FROM added WHERE o_orderstatus <> 'P'""",
+)
+def append_with_tags(s: SparkSession, d: str) -> DataFrame:
+    batch = table(s, d, "orders").where(F.col("o_orderpriority") == "2-HIGH")
+    batch = batch.select(F.col("o_custkey").alias("stream_id"), F.col("o_orderkey").alias("position"), F.col("o_orderstatus").alias("status"))
+    kinds = E.TagTypes(customer=F.col("stream_id"), status=F.when(F.col("status") != "P", F.col("status")), unused=F.lit(1))
+    _, tags = E.append_tagged(log(s, d).drop("is_archived"), batch, "position", kinds, ["customer", "status"])
+    return tags
+
+
+@query("boundary_violations", _LOG + "SELECT seq_id FROM log WHERE (stream_id = 12 OR stream_id = 13 AND type = 'error') AND seq_id > 500 AND NOT is_archived")
+def boundary_violations(s: SparkSession, d: str) -> DataFrame:
+    rows = log(s, d)
+    tags = E.tags_from(rows, user=F.col("stream_id"))
+    return E.boundary_violations(rows, tags, [("user", 12, None), ("user", 13, "error")], 500).select("seq_id")
+
+
 # --- documents ----------------------------------------------------------------------------------------
 
 

@@ -111,6 +111,9 @@ _PATCHES: dict[str, tuple[Callable[[Column], Column], dict[str, str]]] = {
     "patch_remove_all": (lambda x: patch.remove_all(x, "numbers", 7), {"numbers": "array_to_string(list_filter(numbers, lambda v: v <> 7), ',')"}),
     "patch_remove_first": (lambda x: patch.remove_first(x, "numbers", 7), {"numbers": "array_to_string(numbers[1:list_position(numbers, 7) - 1] || numbers[list_position(numbers, 7) + 1:], ',')"}),
     "patch_remove_where": (lambda x: patch.remove_where(x, "numbers", lambda v: v > 20), {"numbers": "array_to_string(list_filter(numbers, lambda v: v <= 20), ',')"}),
+    "patch_append_unless": (lambda x: patch.append_unless(x, "numbers", -1, lambda v: v > 30), {"numbers": "array_to_string(CASE WHEN len(list_filter(numbers, lambda v: v > 30)) > 0 THEN numbers ELSE list_append(numbers, -1) END, ',')"}),
+    "patch_insert_unless": (lambda x: patch.insert_unless(x, "numbers", -1, lambda v: v == 3, 0), {"numbers": "array_to_string(CASE WHEN list_contains(numbers, 3) THEN numbers ELSE [-1] || numbers END, ',')"}),
+    "patch_remove_first_where": (lambda x: patch.remove_first_where(x, "numbers", lambda v: v < 8), {"numbers": "array_to_string(CASE WHEN size < 8 THEN numbers[2:] ELSE numbers[1:1] || numbers[3:] END, ',')"}),
     "patch_rename": (lambda x: patch.rename(x, "name", "title"), {"name": "", "title": "name"}),
     "patch_delete": (lambda x: patch.delete(x, "price"), {"price": ""}),
     "patch_duplicate": (lambda x: patch.duplicate(x, "size", "size2", "size3"), {"size2": "size", "size3": "size"}),

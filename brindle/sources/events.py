@@ -200,9 +200,14 @@ def events_exist(events: DataFrame, tags: DataFrame, conditions: Sequence[tuple[
     return matching_tags(events, tags, conditions).limit(1).agg((F.count("*") > 0).alias(name))
 
 
+def boundary_violations(events: DataFrame, tags: DataFrame, conditions: Sequence[tuple[str, Any, str | None]], last_seen: int) -> DataFrame:
+    """Events that meet the conditions and came after ``last_seen``: a decision on what was seen does not hold for them."""
+    return matching_tags(events.where(F.col("seq_id") > last_seen), tags, conditions)
+
+
 def assert_boundary(events: DataFrame, tags: DataFrame, conditions: Sequence[tuple[str, Any, str | None]], last_seen: int) -> None:
     """An error if an event that meets the conditions came after ``last_seen``."""
-    if matching_tags(events.where(F.col("seq_id") > last_seen), tags, conditions).take(1):
+    if boundary_violations(events, tags, conditions, last_seen).take(1):
         raise ConcurrencyError(f"events after {last_seen} are inside the boundary")
 
 
@@ -252,6 +257,24 @@ def append(events: DataFrame, batch: DataFrame, order: str, expected: Mapping[An
     )
 
 
+class TagTypes:
+    """The registered kinds of tags: a name, and how its value follows from an event; other names are errors."""
+
+    def __init__(self, **columns: Column) -> None:
+        self.columns = columns
+
+    def value(self, tag: str) -> Column:
+        if tag not in self.columns:
+            raise KeyError(f"no tag {tag!r}; known are {', '.join(sorted(self.columns))}")
+        return self.columns[tag]
+
+
+def append_tagged(events: DataFrame, batch: DataFrame, order: str, kinds: TagTypes, tags: Sequence[str], expected: Mapping[Any, int] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows to append, and the rows of the tag table that belong to them."""
+    rows = append(events, batch, order, expected)
+    return rows, tags_from(rows, **{t: kinds.value(t) for t in tags})
+
+
 def start_streams(events: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     """Rows to append that begin streams; a stream that is there is an error."""
     if batch.select("stream_id").join(events.select("stream_id"), "stream_id", "left_semi").take(1):

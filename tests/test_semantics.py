@@ -431,6 +431,24 @@ def test_gaps_of_tenants_and_one_full_group(spark):
     assert "SinglePartition" not in plan.split("_range")[0]
 
 
+def test_tag_types_and_tagged_appends(spark):
+    kinds = E.TagTypes(crate=F.col("stream_id"), heavy=F.when(F.col("value") > 5, "yes"))
+    old = log(spark, (1, "c7", 1, "loaded", 0))
+    batch = spark.createDataFrame([("c7", 1, 9.0), ("c8", 2, 1.0)], "stream_id string, pos int, value double")
+    rows, tags = E.append_tagged(old, batch, "pos", kinds, ["crate", "heavy"])
+    assert values(tags) == [("crate", "c7", 2), ("crate", "c8", 3), ("heavy", "yes", 2)] and rows.count() == 2
+    with pytest.raises(KeyError, match="depot"):
+        E.append_tagged(old, batch, "pos", kinds, ["depot"])
+
+
+def test_patches_by_condition(spark):
+    row = spark.createDataFrame([([3, None, 8, 3],), ([],), (None,)], "a array<int>").select(F.struct("a").alias("d"))
+    out = lambda change: [r[0] for r in row.select(change(F.col("d"))["a"]).collect()]
+    assert out(lambda d: patch.append_unless(d, "a", 1, lambda v: v > 7)) == [[3, None, 8, 3], [1], None]
+    assert out(lambda d: patch.insert_unless(d, "a", 1, lambda v: v > 9, 1)) == [[3, 1, None, 8, 3], [1], None]
+    assert out(lambda d: patch.remove_first_where(d, "a", lambda v: v == 3)) == [[None, 8, 3], [], None]
+
+
 def test_event_documents(spark):
     rows = log(spark, (1, "a", 1, "sold", 5), (2, "a", 2, "sold", 6), (3, "b", 1, "seen", 1), (4, "b", 2, "other", 1))
     made = fold_module.event_documents(rows, ("sold", F.col("stream_id"), [F.col("value")]), ("seen", F.concat(F.lit("s"), "stream_id"), [F.col("type")]))
