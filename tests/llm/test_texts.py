@@ -549,6 +549,15 @@ def test_training_finds_the_likeliest_weights():
             assert likelihood(moved[:-1], moved[-1]) < likelihood(weights, bias) + 1e-3
 
 
+def test_a_score_at_the_threshold_is_toxic(spark):
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -0.5)
+    docs = documents(spark, ["one sentence", "two. sentences", "", None])
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    at = toxicity.score_toxicity(docs, model, threshold=score[0])
+    assert {r["doc_id"]: r["predicted"] for r in at.collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, model, threshold=score[0]).collect()} == {2, 3}
+
+
 def test_toxicity_sample_is_bounded(spark):
     frame = spark.createDataFrame([(k, f"word{k % 7} and others. " * 50 + ("grunk" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)], "doc_id bigint, text string, toxic int")
     model = toxicity.fit(frame, frame, sample_bytes=1 << 17)  # about a third of the texts
