@@ -26,6 +26,8 @@ CHUNK = 64
 TILE = 8192
 #: Shingles are counted in so many bins (2 to the power), to tell rare ones.
 RARE_BITS = 18
+#: Copies of a member, about, up to which a large bucket is compared chunk by chunk; where it would take more, its members meet at rare shingles.
+MOST_COPIES = 16
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
@@ -282,18 +284,25 @@ def _alike(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return materialize(found.join(groups, "band"), "met")
 
 
-def _large_blocks(members: DataFrame, chunk: int) -> DataFrame:
-    """Blocks of large buckets (band, doc_id, component): chunks of documents, each two of them once.
-
-    The largest component of a bucket is compared with the rest alone, so a bucket that is one component but for
-    a few documents costs those few times its size.
-    """
+def _bucket_sizes(members: DataFrame, chunk: int) -> DataFrame:
+    """Of each bucket (band, doc_id, component) its largest component, the chunks of that and of the rest, and ``copies``, how often a member is in a block."""
     by_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     sizes = by_component.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    n_rest = F.col("n") - F.col("most.n")
     sizes = sizes.select(
-        "band", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / chunk).cast("int").alias("n_main"), F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("n_rest")
+        "band", "n", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / chunk).cast("int").alias("n_main"), F.ceil(n_rest / chunk).cast("int").alias("n_rest"), n_rest.alias("rest")
     )
-    placed = members.join(materialize(sizes, "sizes"), "band").withColumn("is_main", F.col("component") == F.col("main"))
+    copies = (F.col("n") * F.col("n_rest") + F.col("rest") * F.col("n_main")) / F.col("n")
+    return materialize(sizes.withColumn("copies", copies).drop("rest"), "sizes")
+
+
+def _large_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of large buckets (band, doc_id, component) with their ``sizes``: chunks of documents, each two of them once.
+
+    The largest component of a bucket is compared with the rest alone, so a bucket that is one component but for
+    a few documents costs those few times its size.
+    """
+    placed = members.join(sizes.drop("n", "copies"), "band").withColumn("is_main", F.col("component") == F.col("main"))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("band", "doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
 
     def entry(kind: str, a, b, part, inner) -> object:
@@ -307,6 +316,30 @@ def _large_blocks(members: DataFrame, chunk: int) -> DataFrame:
     return entries.select(F.xxhash64("band", "kind", "a", "b").alias("block"), "part", "inner", "component", "doc_id")
 
 
+def _open_blocks(sets: DataFrame, members: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Blocks for the ``members`` (band, doc_id, component) of large buckets, the cheaper way: both lose no link.
+
+    Buckets that take few copies of a member are compared chunk by chunk.  The members of the others meet at rare shingles,
+    in groups that are compared whole or chunk by chunk, unless those would take more copies still.
+    """
+    buckets = _bucket_sizes(members, chunk)
+    blocks = _large_blocks(members, buckets.where(F.col("copies") <= MOST_COPIES))
+    many = buckets.where(F.col("copies") > MOST_COPIES)
+    of_many = members.join(many.select("band"), "band", "left_semi")
+    if not many.limit(1).count():
+        return blocks
+    met = _alike(sets, of_many, percent)
+    small, hot = met.where(F.col("n") <= chunk), met.where(F.col("n") > chunk)
+    groups = _bucket_sizes(hot, chunk)
+
+    def copies(sizes: DataFrame) -> float:
+        return sizes.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0.0
+
+    if copies(many) <= small.count() + copies(groups):
+        return blocks.unionByName(_large_blocks(of_many, many))
+    return blocks.unionByName(_small_blocks(small)).unionByName(_large_blocks(hot, groups))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node of ``links`` (left, right).
 
@@ -344,8 +377,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Documents with the same set form a class and go on as its smallest doc_id; copies never become
     pairs.  Classes that agree in a band of the min-max signature share a bucket.  Buckets of at most ``chunk``
     classes are compared by one task each.  In larger ones each class is compared with the first, which makes
-    one component of most of them.  What then is of different components meets again at its rarest shingles only, in
-    groups that are compared like small buckets, or chunk by chunk where they are large.  A
+    one component of most of them; what then is of different components is compared chunk by chunk.  Where that would
+    take many copies of each class, they meet again at their rarest shingles only, in groups that are compared the same way.  A
     row that is shuffled is a class in a group or chunk, not a pair, and links are confirmed on full sets throughout.
     """
     sketches = docs.select("doc_id", "text").mapInArrow(
@@ -369,10 +402,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if large.limit(1).count():
         near = near.unionByName(_confirmed(sets, large.select("left", "right"), percent))
         open_ = _mixed(_with_components(large.select("band", F.col("left").alias("doc_id")), connected_components(near)))
-        met = _alike(sets, open_, percent)
-        near = near.unionByName(_linked_in_blocks(sets, _small_blocks(met.where(F.col("n") <= chunk)), percent))
-        if met.where(F.col("n") > chunk).limit(1).count():
-            near = near.unionByName(_linked_in_blocks(sets, _large_blocks(met.where(F.col("n") > chunk), chunk), percent))
+        near = near.unionByName(_linked_in_blocks(sets, _open_blocks(sets, open_, percent, chunk), percent))
     components = connected_components(near)
     result = sketches.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -79,6 +79,7 @@ def test_unlinked_documents_of_one_frame_do_not_meet(spark, monkeypatch):
         return alike(sets, members, percent)
 
     monkeypatch.setattr(minhash, "_alike", counted)
+    monkeypatch.setattr(minhash, "MOST_COPIES", 2)
     found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, texts)).collect()}
     assert found == {k: k if k < n else 4 * (k - n) for k in range(n + 10)}
     (members, rows) = met[0]
