@@ -132,11 +132,11 @@ class ChunkEncoder:
     Other tokenizers get each text whole, and so do texts that may hold the name of a special token.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cuts: bool | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cuts = may_be_cut(path)
+        self.cuts = may_be_cut(path) if cuts is None else cuts
         self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
@@ -175,17 +175,17 @@ class ChunkEncoder:
         if not self.cuts:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in column.to_pylist()]
         split = self._split(column)
-        new = {c for chunks in split if chunks for c in chunks} - self.known.keys()
-        forgot = len(self.known) + len(new) > CACHE_ENTRIES
-        if forgot:  # what these texts need is learnt again with what is new
-            new = {c for chunks in split if chunks for c in chunks}
+        needed = set().union(*(chunks for chunks in split if chunks))
+        new = needed.difference(self.known)
+        if len(self.known) + len(new) > CACHE_ENTRIES:  # what these texts need is learnt again with what is new
+            new = needed
         if new:
             self._learn(list(new))
         known = self.known
         return [
             np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, np.uint32)
             if chunks is None
-            else np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32)
+            else np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
             for k, chunks in enumerate(split)
         ]
 
@@ -193,17 +193,17 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, cuts: bool) -> ChunkEncoder:
     if path not in _encoders:  # a worker keeps its encoder from task to task
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ChunkEncoder(path, cuts)
     return _encoders[path]
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, cuts: bool, end_id: int):
     fields = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("place", pa.int64()), ("n_tokens", pa.int64())] + [(n, pa.list_(pa.binary())) for n in ("levels", "bitmaps", "ranks")])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = _encoder(path), 0
+        encoder, place = _encoder(path, cuts), 0
         for whole in batches:
             for batch in vector.slices(whole, "text"):
                 ids = [np.append(i, np.uint32(end_id)) for i in encoder.encode(batch.column("text"))]
@@ -240,7 +240,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
         .sortWithinPartitions(*order)
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
     )
-    codes = dealt.mapInArrow(_encode(tokenizer, end_id), CODES).write.partitionBy("shard")
+    codes = dealt.mapInArrow(_encode(tokenizer, may_be_cut(tokenizer), end_id), CODES).write.partitionBy("shard")
     codes.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(f"{path}/codes")
     totals = spark.read.schema(CODES).parquet(f"{path}/codes").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
